@@ -20,7 +20,7 @@ from .common import partitions, read_table, save
 _PACKED = "part int, seq int, n int, dim int, ids binary, vectors binary"
 _LISTS = "tile_part int, tile_seq int, idx long, n int, query_ids binary, vec_ids binary, scores binary"
 FAN_IN = 16
-_NONE = np.iinfo(np.int64).min  # the score of an empty place in a list
+_NONE = -np.iinfo(np.int64).max  # the score of an empty place in a list; its negative is still a 64-bit integer
 
 
 def pack(vectors: DataFrame, rows: int) -> DataFrame:

@@ -22,7 +22,7 @@ def brute(rows, k, queries):
 def test_top_k_equals_brute_force(spark):
     r = np.random.default_rng(3)
     rows = [(i, r.normal(size=6).round(1).tolist()) for i in range(200)] + [(300 + i, [0.5] * 6) for i in range(60)]
-    rows += [(400, None), (401, [1.0, None, 0, 0, 0, 0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (404, [1.0, 2.0]), (None, [9.0] * 6), (405, [])]
+    rows += [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (404, [1.0, 2.0]), (None, [9.0] * 6), (405, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as seq", "2 as score").repartition(5)
     qs = {i for i, _ in rows if i is not None and i % 7 == 0}
     got = {tuple(x) for x in topk.top_k(df, F.col("vec_id") % 7 == 0, k=4, tile_rows=8, shard_rows=16).collect()}
