@@ -34,12 +34,15 @@ def mix(docs: DataFrame, power: float = 0.5, weights: dict[str, float] | None =
     spark, cols = docs.sparkSession, [c for c in docs.columns if c not in ("copy", "_cdf")]
     amount = F.count("*").cast("double") if size_column is None else F.sum(F.coalesce(F.col(size_column), F.lit(0))).cast("double")
     sizes = docs.groupBy(F.col(source_column).alias("_s")).agg(amount.alias("_n")).where("_n > 0")
+    everything = F.lit(None)
+    if weights is not None:
+        everything = F.lit(sizes.agg(F.sum("_n")).first()[0])
     if weights is None:
         sizes = sizes.withColumn("_w", F.pow("_n", F.lit(power)))
     else:
         table = spark.createDataFrame([(k, float(w)) for k, w in weights.items()], "_k string, _w double")
         sizes = sizes.join(table, F.col("_s").eqNullSafe(F.col("_k"))).drop("_k").where("_w > 0")
-    total = sizes.agg(F.sum("_w").alias("w"), F.sum("_n").alias("n"), F.count("*").alias("c")).first()
+    total = sizes.agg(F.sum("_w").alias("w"), F.coalesce(everything, F.sum("_n")).alias("n"), F.count("*").alias("c")).first()
     if not total["c"]:
         return docs.select(*cols).withColumn("copy", F.lit(1)).limit(0)
     rate = F.col("_w") / F.lit(total["w"]) * F.lit(budget * total["n"]) / F.col("_n")
