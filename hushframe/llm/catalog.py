@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, token_ids, topk
+from . import mixing, ngram_join, token_ids, topk
 
 QUERIES = {
     "op2_token_ids": token_ids.op2_token_ids,
     "op3_top_k": topk.op3_top_k,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op10_mixing": mixing.op10_mixing,
 }
 
