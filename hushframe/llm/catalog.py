@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_join, token_ids, topk
+from . import line_dedup, mixing, ngram_join, secrets, token_ids, topk
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_token_ids": token_ids.op2_token_ids,
     "op3_top_k": topk.op3_top_k,
     "op4_ngram_join": ngram_join.op4_ngram_join,
+    "op6_secrets": secrets.op6_secrets,
     "op10_mixing": mixing.op10_mixing,
 }
 

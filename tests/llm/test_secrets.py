@@ -1,0 +1,58 @@
+import hashlib
+import random
+import re
+import string
+
+from hushframe.llm import secrets
+
+ASSIGN = re.compile(r"""((?ia:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base(text):
+    t = text or ""
+    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+    return sorted(spans)
+
+
+def joined(spans):
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in spans)
+
+
+def scan(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as base", "'x' as tokens")
+    return {(r.doc_id, r.base_sha256, r.n_assign, r.n_access, r.n_hex): r.spans for r in secrets.scan_secrets(docs).collect()}
+
+
+def test_base_spans_equal_brute_force(spark):
+    r = random.Random(5)
+    pieces = ["password", "Passwd", "SECRET", "token", "api_key", "ApiKey", '"', "'", " ", "  ", ":", "=", "abcdef0123456789", "AKIA", "ABCDEFGHIJKL0123", "é", "𝄞", "x", "\n", "shortone", "Zm9vYmFyYmF6cXV4", "0123456789abcdef" * 2, "a-b_c.d/e+f=", "word "]
+    texts = ["".join(r.choices(pieces, k=r.randrange(0, 25))) for _ in range(400)] + ["", "a", "token: secret: abcdefghijklmnop", "token = \"" + "k" * 12, "AKIA" + "A" * 13, "AKIA" + "A" * 14, "f" * 15, "f" * 16, "x " * 60000 + "f" * 20]
+    rows = list(enumerate(texts)) + [(None, None), (3, None), (3, None)]
+    got = scan(spark, rows)
+    for d, t in rows:
+        b = base(t)
+        key = (d, hashlib.sha256(joined(b).encode()).hexdigest(), *(sum(k == i for _, k, _ in b) for i in range(3)))
+        assert set(joined(b).split(",")) <= {*got[key].split(","), ""}, (t, got[key])
+
+
+def test_battery_finds_random_tokens_and_leaves_words(spark):
+    r = random.Random(6)
+    alphabets = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits]
+    rows, plain = [], 0
+    for i in range(200):
+        rows.append((i, "left " + "".join(r.choices(alphabets[i % 3], k=r.choice([32, 40, 64]))) + " right"))
+    for i in range(200, 400):
+        rows.append((i, r.choice(["Donaudampfschifffahrtsgesellschaftskapitaen1", "internationalization2024internationalization", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1111", "path/to/some/module/index2/page1/of/site", "abababababababababababab1212121212121212"]) + " right"))
+    got = scan(spark, rows)
+    hits = sum("random:5:" in s for k, s in got.items() if k[0] < 200)
+    plain = sum("random" in s for k, s in got.items() if k[0] >= 200)
+    assert hits >= 180 and plain == 0
+
+
+def test_empty_table_and_no_python(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert secrets.scan_secrets(docs).count() == 0
+    plan = secrets.scan_secrets(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
