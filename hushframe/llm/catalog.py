@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, ngram_join, secrets, token_ids, topk
+from . import line_dedup, mixing, ngram_join, packing, secrets, token_ids, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_top_k": topk.op3_top_k,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op6_secrets": secrets.op6_secrets,
+    "op7_packing": packing.op7_packing,
     "op10_mixing": mixing.op10_mixing,
 }
 
