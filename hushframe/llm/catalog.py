@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, ngram_join, packing, secrets, token_ids, topk
+from . import line_dedup, mixing, ngram_join, packing, quality, secrets, token_ids, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op6_secrets": secrets.op6_secrets,
     "op7_packing": packing.op7_packing,
+    "op8_quality": quality.op8_quality,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_mixing": mixing.op10_mixing,
 }
 
