@@ -1,17 +1,60 @@
-"""The corpus pipeline: stages from documents to packed sequences."""
+"""The corpus pipeline: quality filter, line dedup, near-duplicate groups, source mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept. All but the last return the columns
+of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hushframe.llm.common import read_table, save
+from hushframe.llm.line_dedup import dedup_lines
+from hushframe.llm.mixing import mix
+from hushframe.llm.ngram_join import keep_representatives
+from hushframe.llm.packing import pack
+from hushframe.llm.quality import filter_quality
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject."""
+    return filter_quality(docs, read_table(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of line runs; those of which nothing is left go, empty ones stay as they were."""
+    found = dedup_lines(docs).where((F.col("lines_deleted") == 0) | (F.col("lines_kept") > 0))
+    return found.withColumn("n_chars", F.when(F.col("lines_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one with the smallest id."""
+    return keep_representatives(docs).select(*COLUMNS)
 
-STAGES: list = []
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to the sources' target weights, shuffled."""
+    return mix(docs).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
+
+#: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, each written and read again."""
-    from hushframe.llm.common import read_table, save
-
     docs = read_table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
