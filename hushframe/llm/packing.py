@@ -22,24 +22,15 @@ from .common import read_table, save
 from .tokenization import encoder
 
 SEQUENCE = 2048
-SAND = (128, 64, 32, 16, 8, 4, 2, 1)
 SAND_EVERY = 10
 _PIECES = "doc_id long, part int, row long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def cut(n: int, size: int, sand: bool) -> list[int]:
     """Lengths of a document's pieces: whole sequences, then the rest, in powers of two if it is sand."""
-    out = [size] * (n // size)
     rest = n % size
-    if not sand:
-        return out + [rest] * (rest > 0)
-    sizes = [s for s in SAND if s <= size]
-    while rest:
-        for s in sizes:
-            if s <= rest:
-                out.append(s)
-                rest -= s
-    return out
+    parts = [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1] if sand else [rest] * (rest > 0)
+    return [size] * (n // size) + parts
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, size: int = SEQUENCE, sand_every: int = SAND_EVERY) -> DataFrame:
@@ -73,7 +64,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, size: i
 def plan(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, tuple[int, ...]]]:
     """(count, lengths) of each pattern.
 
-    Every step uses up a length or a pattern, so there are at most two patterns for each length.
+    A step uses up a length or a pattern, or opens at most two, so there are at most three patterns for each length.
     """
     room: dict[int, list[list]] = {}  # space left: patterns of [count, lengths]
     heap: list[int] = []
@@ -90,8 +81,12 @@ def plan(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, tup
             while heap and not room[-heap[0]]:
                 del room[-heapq.heappop(heap)]
             space = -heap[0] if heap else -1
-            if space < length:
-                put(size - length, left, (length,))
+            if space < length:  # new packs take as many of this length as fit, as they have the most room from then on
+                fit = size // length
+                if left >= fit:
+                    put(size - fit * length, left // fit, (length,) * fit)
+                if left % fit:
+                    put(size - left % fit * length, 1, (length,) * (left % fit))
                 break
             count, lengths = room[space].pop()
             n = min(count, left)
