@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +16,7 @@ from ..operators.batch import anonymize, compare_baseline
 from ..rules import SUPPRESS_MAX, AnonymizerConfig, Rule, RuleSet
 from ..sources import taxi
 from ..sources.text import format_delimited, parse_delimited
+from ..streaming.operator import anonymize_stream, with_counters
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -400,3 +404,24 @@ def invariants(found: DataFrame, source: DataFrame, k: int, l: int) -> DataFrame
 def cluster_invariants(spark, sf_dir):
     rows = _events(spark, sf_dir)
     return invariants(anonymize(rows, _event_rules(rows.columns), _config()), rows, 5, 2)
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder below the shared one that the session names, or a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="hushframe-")
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+@_query("stream_equals_batch", "SELECT CAST(0 AS BIGINT) AS only_stream, CAST(0 AS BIGINT) AS only_batch")
+def stream_equals_batch(spark, sf_dir):
+    rows, at = _events(spark, sf_dir), _scratch(spark)
+    rows.coalesce(1).write.parquet(f"{at}/in")
+    config = _config(flush="none", shards=2)
+    stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+    out = with_counters(anonymize_stream(stream, _event_rules(rows.columns), config))
+    out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    a, b = spark.read.schema(out.schema).parquet(f"{at}/out"), anonymize(rows, _event_rules(rows.columns), config)
+    flat = lambda d, tag: _flat(_flat(d, "value"), "hour").withColumn("side", F.lit(tag))
+    both = flat(a, 1).unionByName(flat(b, -1))
+    each = both.groupBy(*(c for c in both.columns if c != "side")).agg(F.sum("side").alias("n"))
+    return each.agg(F.coalesce(F.sum(F.greatest("n", F.lit(0))), F.lit(0)).alias("only_stream"), F.coalesce(F.sum(F.greatest(-F.col("n"), F.lit(0))), F.lit(0)).alias("only_batch"))
