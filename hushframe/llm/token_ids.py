@@ -20,21 +20,21 @@ from .common import drop, new_path, partitions, release, save
 from .tokenization import encoder
 
 #: For each control byte: the data bytes of its four ids, their offsets, and the sum.
-SIZES = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.int64) + 1
-OFFSETS = np.cumsum(SIZES, axis=1) - SIZES
+SIZES = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.int8) + np.int8(1)
+OFFSETS = (np.cumsum(SIZES, axis=1) - SIZES).astype(np.int8)
 TOTALS = SIZES.sum(axis=1)
-MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
 
 
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit values."""
-    v = np.ascontiguousarray(values, dtype="<u4")
-    code = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    padded = np.zeros(-(-len(v) // 4) * 4, dtype=np.uint8)
-    padded[: len(v)] = code
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    keep = np.arange(4, dtype=np.uint8) <= code[:, None]
-    return control.tobytes(), v.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    width = 2 if len(values) and int(values.max()) < 1 << 16 else 4
+    v = np.ascontiguousarray(values, dtype=f"<u{width}")
+    code = np.zeros(-(-len(v) // 4) * 4, dtype=np.uint8)
+    for k in range(1, width):
+        code[: len(v)] += v >= 1 << (8 * k)
+    control = (code.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
+    keep = np.arange(width, dtype=np.uint8) <= code[: len(v), None]
+    return control.tobytes(), v.view(np.uint8).reshape(-1, width)[keep].tobytes()
 
 
 def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -46,8 +46,9 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     raw = np.frombuffer(data + b"\0" * 8, dtype=np.uint8)  # the last id of a short group reads past its end
     out = raw[at].astype(np.uint32)
     for k in range(1, int(size.max(initial=1))):
-        out |= raw[at + k].astype(np.uint32) << np.uint32(8 * k)
-    return out & MASKS[size]
+        more = np.flatnonzero(size > k)
+        out[more] |= raw[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    return out
 
 
 def _staged_schema() -> str:
@@ -58,7 +59,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_column
     """(doc_id, part, row, ids): little-endian unsigned 32-bit ids of whole texts, in ascending doc_id order.
 
     ``part`` is a range of doc_ids, ``row`` the place in it; nulls sort first and equal doc_ids by a hash of the text. A
-    null text is empty.
+    null text is empty. A task's last row, of row -1, has how often it saw each id, as 64-bit integers.
     """
     n = partitions(docs.sparkSession)
     tie = F.xxhash64("text")
@@ -68,17 +69,20 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_column
         from pyspark import TaskContext
 
         part, row, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
+        seen = np.zeros(0, dtype="<i8")
         end = np.array([end_id] if end_id is not None else [], dtype=f"<u{enc.width}").tobytes()
         for b in batches:
             for s in range(0, b.num_rows, 512):
                 x = b.slice(s, 512)
                 ids = [i + end for i in enc.encode(x.column(1).to_pylist())]
-                if enc.width == 2:
-                    ids = [b"\2" + i for i in ids]
-                else:
-                    ids = [b"\4" + i for i in ids]
+                count = np.bincount(np.frombuffer(b"".join(ids), dtype=f"<u{enc.width}"), minlength=len(seen))
+                count[: len(seen)] += seen
+                seen = count.astype("<i8")
+                width = bytes([enc.width])
+                ids = [width + i for i in ids]
                 yield pa.RecordBatch.from_arrays([x.column(0), pa.array([part] * len(ids), pa.int32()), pa.array(range(row, row + len(ids)), pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "part", "row", "ids"])
                 row += len(ids)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([part], pa.int32()), pa.array([-1], pa.int64()), pa.array([seen.tobytes()], pa.binary())], names=["doc_id", "part", "row", "ids"])
 
     return ordered.mapInArrow(run, _staged_schema())
 
@@ -89,20 +93,16 @@ def unpack(ids: bytes) -> np.ndarray:
 
 
 def id_counts(staged: DataFrame) -> DataFrame:
-    """(id, n): occurrences of each id in the corpus, added up within a task first."""
+    """(id, n): occurrences of each id in the corpus, from the counts of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, dtype=np.int64)
         for b in batches:
-            for s in range(0, b.num_rows, 1024):
-                got = [unpack(i) for i in b.column(0).slice(s, 1024).to_pylist()]
-                c = np.bincount(np.concatenate(got), minlength=len(total)) if got else np.zeros(0, np.int64)
-                c[: len(total)] += total
-                total = c
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
+            for c in b.column(0).to_pylist():
+                total = np.frombuffer(c, dtype="<i8")
+                ids = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
-    return staged.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return staged.where("row = -1").select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 2, block_ids: int = 1 << 18) -> None:
@@ -117,8 +117,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | Non
     top = id_counts(staged).toPandas().sort_values(["n", "id"], ascending=[False, True])
     order = top["id"].to_numpy(dtype=np.int64)
     spark.createDataFrame([(order.astype("<u4").tobytes(),)], "ids binary").coalesce(1).write.parquet(f"{path}/ranks")
-    rank = np.zeros(int(order.max(initial=0)) + 1, dtype=np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
+    rank = np.zeros(int(order.max(initial=0)) + 1, dtype=np.uint16 if len(order) <= 1 << 16 else np.uint32)
+    rank[order] = np.arange(len(order))
     shared = spark.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +146,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | Non
             yield block()
 
     schema = "part int, row long, doc_ids array<long>, lengths array<long>, control binary, data binary"
-    staged.select("doc_id", "part", "row", "ids").mapInArrow(run, schema).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    staged.where("row >= 0").select("doc_id", "part", "row", "ids").mapInArrow(run, schema).write.option("compression", "zstd").parquet(f"{path}/blocks")
     shared.unpersist()
     drop(staged)
 

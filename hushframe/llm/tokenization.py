@@ -11,20 +11,52 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _PAIR = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<!\s)(?= \S|\n\S)")
+#: Chunks of these characters alone are cut into pieces here; the library cuts all others.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e"
+_MARK = r"!-/:-@\[-`{-~"
+_PLAIN = re.compile(rf"[ \n]?[{_LETTER}0-9{_MARK}]+").fullmatch
+_PIECES = {
+    "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[{_MARK}]+|\n").findall,
+    "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[{_MARK}]+").findall,
+}
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
 
+def _byte_table() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+class _Cache(dict):
+    """The ids of chunks; what is missing here and in the generation before is encoded."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self._encode, self._before = encode, {}
+
+    def __missing__(self, key):
+        self[key] = found = self._before.get(key) or self._encode(key)
+        return found
+
+    def turn(self) -> None:
+        """Starts a new generation, which takes over what it uses."""
+        self._before = dict(self)
+        self.clear()
+
+
 class ChunkEncoder:
     """Encodes texts to bytes of little-endian ids.
 
     The library encodes each distinct chunk once; a text's ids are those of its chunks in order. Texts are cut only where
     the tokenizer's own pre-tokenizer always ends a piece, so the ids equal those of the whole text: for a byte-level
     tokenizer before a single space or line break between two characters that are no white space; for one that drops
-    white space, at any space or line break. A tokenizer of another kind encodes whole texts. The cache is emptied when
-    it holds ``limit`` chunks.
+    white space, at any space or line break. A tokenizer of another kind encodes whole texts. The cache holds
+    two generations of about ``limit`` chunks.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -40,7 +72,30 @@ class ChunkEncoder:
             self.kind = "word"
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.code = {2: "H", 4: "I"}[self.width]
-        self.limit, self.cache = limit, {}
+        self.limit, self.table, self.model = limit, _byte_table(), self.tokenizer.model
+        self.cache, self.pieces = _Cache(self._chunk), _Cache(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isalpha() and piece.isascii():
+            shown = piece
+        elif piece[0] == " " and piece[1:].isalpha() and piece.isascii():
+            shown = "\u0120" + piece[1:]  # the space's printable character
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.table)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk:  # most often a word, or a word and a mark
+            c = chunk.lower() if self.kind == "word" else chunk
+            word = c[1:] if c[0] == " " else c
+            if word.isalpha():
+                return self.pieces[c]
+            if word[-1:] in ".," and word[:-1].isalpha():
+                return self.pieces[c[:-1]] + self.pieces[c[-1]]
+        if not _PLAIN(chunk):
+            return self._direct([chunk])[0]
+        found = _PIECES[self.kind](chunk.lower() if self.kind == "word" else chunk)
+        return self.pieces[found[0]] if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -57,15 +112,11 @@ class ChunkEncoder:
         texts = [t or "" for t in texts]
         if self.kind == "plain":
             return self._direct(texts)
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        cut = [self._chunks(t) for t in texts]
-        new = list(set().union(*cut).difference(self.cache))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.cache.update(zip(part, self._direct(part), strict=True))
+        for cache in (self.cache, self.pieces):
+            if len(cache) > self.limit:
+                cache.turn()
         get = self.cache.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        return [b"".join(map(get, self._chunks(t))) for t in texts]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
