@@ -19,7 +19,7 @@ from .common import read_table
 from .shingles import _BYTE, _LOWER, _SPACE, _powers, mix
 
 #: Labelled documents that training takes at most: the bound of the sample, drawn by a hash of the id.
-SAMPLE = 12_000
+SAMPLE = 8_000
 BITS = 18
 #: Lengths in bytes of the beginnings of words that are features besides whole words.
 PREFIXES = (4, 5, 6, 7, 8)
@@ -76,28 +76,29 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 400, penalt
     weights = np.zeros((1 << BITS) + 1)
     if not n or y.min() == y.max():
         return weights, -40.0 if not n or y.max() == 0 else 40.0
-    rows, cols, docs, sentences = [], [], [], 0
-    counts = np.zeros((2, (1 << BITS) + 1))
+    size = (1 << BITS) + 1
+    counts = np.zeros((2, size))
     for at in range(0, n, 256):
         x, s, d, _ = features(texts[at : at + 256])
-        docs.append(d + at)
-        rows.append(np.repeat(s + sentences, x.shape[1]))
-        cols.append(x.ravel())
-        sentences += len(d)
-        seen = np.unique(np.repeat(d[s], x.shape[1]) * ((1 << BITS) + 1) + x.ravel())
-        in_doc, bucket = np.divmod(seen, (1 << BITS) + 1)
+        in_doc, bucket = np.divmod(np.unique(np.repeat(d[s], x.shape[1]) * size + x.ravel()), size)
         for label in (0, 1):
-            counts[label] += np.bincount(bucket[y[at + in_doc] == label], minlength=counts.shape[1])
-    row, col, doc = np.concatenate(rows), np.concatenate(cols), np.concatenate(docs)
+            counts[label] += np.bincount(bucket[y[at + in_doc] == label], minlength=size)
     share = (counts + 0.5) / (np.array([(y == 0).sum(), (y == 1).sum()])[:, None] + 1.0)
     gain = np.abs(share[1] - share[0]) / np.sqrt(share.sum(axis=0))
     gain[-1] = -1
     chosen = np.argsort(-gain, kind="stable")[:FEATURES]
-    place = np.full(len(gain), -1)
+    place = np.full(size, -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
-    keep = place[col] >= 0
-    cell = np.unique(row[keep] * np.int64(len(chosen)) + place[col[keep]])  # a feature counts once in a sentence
-    row, col = np.divmod(cell, len(chosen))
+    cells, docs, sentences = [], [], 0
+    for at in range(0, n, 256):  # once more, for the chosen buckets alone
+        x, s, d, _ = features(texts[at : at + 256])
+        word, feature = np.nonzero(place[x] >= 0)
+        cells.append(np.unique((s[word] + sentences) * len(chosen) + place[x[word, feature]]))  # counts once in a sentence
+        docs.append((d + at).astype(np.int32))
+        sentences += len(d)
+    row, col = (v.astype(np.int32) for v in np.divmod(np.concatenate(cells), len(chosen)))
+    doc = np.concatenate(docs)
+    del cells, docs
     w, b = np.zeros(len(chosen)), -5.0
     sum_w, sum_b = np.full(len(w), 1e-8), 1e-8
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
