@@ -64,29 +64,26 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b), a != b, of any comparable type.
 
     Returns (node, component): the smallest node reachable, for each node that has an edge. Alternates large-star and
-    small-star steps (Kiveris et al., 2014), each a distributed aggregation, until the edges no longer change. A hub's
-    edges are aggregated to their minimum before they meet, so no task gathers a component.
+    small-star steps (Kiveris et al., 2014), each a distributed aggregation, until every node has one edge, to a node
+    that has none itself. A hub's edges are aggregated to their minimum before they meet, so no task gathers a component.
     """
     both = save(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    last = None
     for _ in range(max_rounds):
-        # large-star: every larger neighbour of u points to the smallest of u's neighbourhood
-        large = _star(both, large=True)
-        small = save(_star(large, large=False), "edges")
-        now = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        # every larger neighbour points to the smallest of a neighbourhood, then every smaller one
+        now = save(_star(_star(both, large=True), large=False).distinct(), "edges")
         drop(both)
-        both = small
-        if now == last:
+        both = now
+        ends = both.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(both.select(F.col("b").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        per = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if per.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty():
             break
-        last = now
     else:
         raise RuntimeError(f"components are not settled after {max_rounds} rounds")
-    nodes = both.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component")).groupBy("node").agg(F.min("component").alias("component"))
+    return both.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(both.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step; result edges (a, b) with a > b."""
+    """One star step; result edges (a, b) with a > b, some of them repeated."""
     turned = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     if large:
         turned = turned.unionByName(turned.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -95,7 +92,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     moved = joined.where(F.col("v") > F.col("u") if large else F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not large:
         moved = moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return moved.where("a <> b").distinct()
+    return moved.where("a <> b")
 
 
 def running_total(df: DataFrame, keys: list[str], count: str, name: str) -> DataFrame:

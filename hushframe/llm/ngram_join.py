@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, drop, partitions, read_table, release, save
@@ -26,6 +26,16 @@ from .shingles import class_key, shingle_sets
 THRESHOLD = 75
 #: Vertical fragments of the overlap count.
 FRAGMENTS = 4
+#: Smallest hashes by which sets first find one to link to.
+SIGNATURES = 3
+#: Comparisons of sketches for each entry of the index up to which all that is left is compared at once.
+COMPARED = 64
+#: Sets of an n-gram's main component that the others there are held against in a round.
+DRAWS = 8
+#: 64-bit words of a set's parity sketch.
+WORDS = 8
+SKETCH = [f"k{i}" for i in range(WORDS)]
+_SET = ["key", "n", "m", *SKETCH]
 _H = np.uint64((1 << 40) - 1)
 
 
@@ -149,9 +159,30 @@ def shared_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
         order = np.argsort(rk)
         size = rn[order][np.searchsorted(rk[order], used)] if len(used) else np.zeros(0, np.int64)
         good = np.flatnonzero(100 * m >= THRESHOLD * size)
-        return pa.table([pa.array(used[good], pa.int64()), pa.array(size[good], pa.int64()), pa.array(m[good], pa.int64()), pa.array([ids[at[i] : at[i] + m[i]] for i in good], pa.list_(pa.int64()))], names=["key", "n", "m", "ids"])
+        own = [ids[at[i] : at[i] + m[i]] for i in good]
+        bits = np.array([np.packbits(np.bincount(x & (64 * WORDS - 1), minlength=64 * WORDS).astype(np.uint8) & 1) for x in own]).reshape(-1, 8 * WORDS)
+        words = np.ascontiguousarray(bits).view("<i8")
+        columns = [pa.array(used[good], pa.int64()), pa.array(size[good], pa.int64()), pa.array(m[good], pa.int64()), pa.array(own, pa.list_(pa.int64()))]
+        return pa.table(columns + [pa.array(words[:, i], pa.int64()) for i in range(WORDS)], names=["key", "n", "m", "ids", *SKETCH])
 
-    return found.groupBy("bucket").cogroup(classes.groupBy("bucket")).applyInArrow(run, "key long, n long, m long, ids array<long>")
+    return found.groupBy("bucket").cogroup(classes.groupBy("bucket")).applyInArrow(run, "key long, n long, m long, ids array<long>" + "".join(f", {w} long" for w in SKETCH))
+
+
+def _may_link(x: str, y: str):
+    """Whether two sets, whose columns have these suffixes, may link: by size, and by a bound on what only one has.
+
+    Each n-gram that only one of them has turns one bit of the sketches' difference, and none has partners outside the
+    shared ones; so no pair that links fails.
+    """
+    n1, n2, m1, m2 = (F.col(c + s) for c in "nm" for s in (x, y))
+    apart = n1 - m1 + n2 - m2
+    for w in SKETCH:
+        apart = apart + F.bit_count(F.col(w + x).bitwiseXOR(F.col(w + y)))
+    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * THRESHOLD) & (apart * (100 + THRESHOLD) <= (n1 + n2) * (100 - THRESHOLD))
+
+
+def _renamed(columns: list[str], suffix: str, source: str = ""):
+    return [F.col(source + c).alias(c + suffix) for c in columns]
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -172,58 +203,72 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return total.where(F.col("o") * 100 >= THRESHOLD * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
-def _prefixes(sets: DataFrame) -> DataFrame:
-    """(id, key, n, m, at): the n-grams, one of which a linked set must share, with their places."""
-    need = F.ceil(F.col("n") * THRESHOLD / 100)
-    prefix = F.slice("ids", 1, (F.col("m") - need + 1).cast("int"))
-    return sets.select("key", "n", "m", F.posexplode(prefix).alias("at", "id"))
+def _signatures(sets: DataFrame) -> DataFrame:
+    """Each set without its n-grams, once for each of its smallest hashes (sig) of shared n-grams."""
+    low = F.transform("ids", lambda x: x.bitwiseAND(F.lit((1 << 40) - 1)))
+    return sets.select(*_SET, F.explode(F.slice(F.array_sort(low), 1, SIGNATURES)).alias("sig"))
+
+
+def _entries(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, key, at, component): the n-grams of which a linked set must share one, and their places."""
+    prefix = F.slice("ids", 1, (F.col("m") - F.ceil(F.col("n") * THRESHOLD / 100) + 1).cast("int"))
+    named = sets.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    return named.select("key", "component", F.posexplode(prefix).alias("at", "id"))
+
+
+def _pair(a, b) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def link_classes(sets: DataFrame, max_rounds: int = 6) -> DataFrame:
+def link_classes(sets: DataFrame, max_rounds: int = 2) -> DataFrame:
     """(node, component) over the class keys of ``sets`` that have a link."""
     spark = sets.sparkSession
-    prefixes = _prefixes(sets)
-    often = prefixes.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
-    entries = save(prefixes.join(often, "id"), "prefixes")
-    links = save(spark.createDataFrame([], "a long, b long"), "links")
-    tried = links
-    labels = spark.createDataFrame([], "node long, component long")
+    # each set to the first of those that have one of its smallest hashes too
+    signed = _signatures(sets)
+    first = signed.groupBy("sig").agg(F.min(F.struct(*_SET)).alias("r"), F.count("*").alias("c")).where("c > 1").select("sig", *_renamed(_SET, "1", "r."))
+    meets = signed.join(first, "sig").where((F.col("key") != F.col("key1")) & _may_link("", "1"))
+    labels = save(components(verify(meets.select(*_pair("key", "key1")).distinct(), sets)), "labels")
     for turn in range(max_rounds):
-        named = entries.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        entries = _entries(sets, labels)
+        mixed = entries.groupBy("id").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("id")
+        named = save(entries.join(mixed, "id").join(sets.select(*_SET), "key"), "open")
         per = named.groupBy("id", "component").agg(F.count("*").alias("c"))
-        open_ids = per.groupBy("id").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("pairs"), F.count("*").alias("k")).where("k > 1")
-        named = save(named.join(open_ids.select("id", "pairs"), "id"), "open")
-        state = named.agg(F.count("*").alias("rows")).first()
-        todo = named.select("id", "pairs").distinct().agg(F.sum("pairs")).first()[0] or 0
-        if not state["rows"]:
+        main = save(per.groupBy("id").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.max(F.struct("c", "component")).alias("most")).select("id", "s", "q", F.col("most.component").alias("main")), "main")
+        rows, todo = main.agg(F.sum("s"), F.sum(F.col("s") * F.col("s") - F.col("q"))).first()
+        if not rows:
             return labels
-        if todo <= 8 * state["rows"] or turn == max_rounds - 1:
+        if todo <= COMPARED * rows or turn == max_rounds - 1:
             break
-        # one representative per n-gram, and for each set the one that it meets most often
-        order = F.xxhash64("key", F.lit(turn))
-        rep = named.groupBy("id").agg(F.min(F.struct(order.alias("o"), F.col("key").alias("rep"), F.col("component").alias("rc"))).alias("r")).select("id", "r.rep", "r.rc")
-        meets = named.join(rep, "id").where("component <> rc").groupBy("key", "rep").agg(F.count("*").alias("c"))
-        best = meets.groupBy("key").agg(F.max(F.struct("c", "rep")).alias("b")).select(F.least("key", "b.rep").alias("a"), F.greatest("key", "b.rep").alias("b")).distinct()
-        fresh = save(best.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(fresh)
-        links = save(links.unionByName(verify(fresh, sets)), "links")
-        labels = save(components(links), "labels")
-        drop(named)
+        # at each n-gram, the sets outside its main component against a few sets of that
+        placed = named.join(main.select("id", "main"), "id")
+        drawn = [F.min(F.struct(F.xxhash64("key", "id", F.lit(turn * DRAWS + i)).alias("o"), *_SET)) for i in range(DRAWS)]
+        few = placed.where("component = main").groupBy("id").agg(F.array(*drawn).alias("r")).select("id", F.explode("r").alias("r")).select("id", *_renamed(_SET, "1", "r."))
+        found = placed.where("component <> main").join(few, "id").where(_may_link("", "1")).groupBy("key").agg(F.min("key1").alias("lo"), F.max("key1").alias("hi"))
+        pairs = found.select("key", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("key1")).select(*_pair("key", "key1")).distinct()
+        labels = _merged(labels, verify(pairs, sets))
+        drop(named, main)
         release(spark)
     # all other pairs of different components that share a prefix n-gram and can still reach the overlap
-    left, right = (named.select("id", *(F.col(c).alias(f"{c}{i}") for c in ("key", "n", "m", "at", "component"))) for i in (1, 2))
+    side = [*_SET, "at", "component"]
+    left, right = named.select("id", *_renamed(side, "1")), named.select("id", *_renamed(side, "2"))
     most = F.least(F.col("m1") - F.col("at1"), F.col("m2") - F.col("at2"))
-    pairs = (
-        left.join(right, "id")
-        .where("key1 < key2 and component1 <> component2")
-        .where(most * (100 + THRESHOLD) >= THRESHOLD * (F.col("n1") + F.col("n2")))
-        .select(F.col("key1").alias("a"), F.col("key2").alias("b"))
-        .distinct()
-    )
-    rest = save(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = save(links.unionByName(verify(rest, sets)), "links")
-    drop(named, entries)
-    return save(components(links), "labels")
+    reach = most * (100 + THRESHOLD) >= THRESHOLD * (F.col("n1") + F.col("n2"))
+    unlike = (F.col("key1") < F.col("key2")) & (F.col("component1") != F.col("component2"))
+    pairs = left.join(right, "id").where(unlike & reach & _may_link("1", "2")).select(*_pair("key1", "key2")).distinct()
+    out = _merged(labels, verify(pairs, sets))
+    drop(named, main)
+    return out
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: components of the components that these connect."""
+    own = [labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
+    named = links.join(own[0], "a", "left").join(own[1], "b", "left")
+    top = save(components(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "labels")
+    above = top.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    old = labels.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    new = top.join(labels.select("node"), "node", "left_anti")
+    return save(old.unionByName(new.select("node", "component")), "labels")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

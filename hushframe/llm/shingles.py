@@ -78,4 +78,4 @@ def class_key(s: np.ndarray) -> int:
         return 0
     parts = np.array([s.sum(dtype=np.uint64), mix(s ^ _C3).sum(dtype=np.uint64)], dtype=np.uint64)
     key = mix(parts * np.array([_C1, _C2]) + np.uint64(len(s)))
-    return int((key[0] ^ (key[1] * _C3)).astype(np.int64)) or 1
+    return int((key[:1] ^ (key[1:] * _C3)).astype(np.int64)[0]) or 1
