@@ -20,10 +20,10 @@ from .common import read_table, save
 
 SCALES = (1, 2)
 #: Corners kept for each image and scale, strongest first.
-CORNERS = 24
+CORNERS = 16
 RADIUS = 9
 ANGLES = 24
-BITS, WORDS = 128, 4
+BITS, WORDS = 128, 4  # a descriptor is kept as two 64-bit integers, a and b
 #: Largest Hamming distance of a match, and votes for one shift that make a copy.
 NEAR, VOTES = 24, 5
 #: Pixels of a bin of the shift.
@@ -95,21 +95,19 @@ def pixels(width: int | None, height: int | None, data: bytes | None) -> np.ndar
 
 
 def descriptors(images: DataFrame) -> DataFrame:
-    """(id, scale, y, x, angle, w0..w3) for each corner; images that can't be read have none."""
+    """(id, scale, place, a, b) for each corner; images that can't be read have none. place holds y, x and angle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for batch in batches:
             rows = []
-            for i, w, h, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for i, w, h, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x = pixels(w, h, data)
                 if x is not None:
-                    rows += [(i, s, y, q, t, *v) for s, y, q, t, v in describe(x)]
-            cols = list(zip(*rows, strict=True)) or [()] * (5 + WORDS)
-            kinds = [pa.int64(), *[pa.int32()] * 4, *[pa.int64()] * WORDS]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "scale", "y", "x", "angle", *(f"w{i}" for i in range(WORDS))])
+                    rows += [(i, s, y << 36 | q << 8 | t, *np.array([v[0] << 32 | v[1], v[2] << 32 | v[3]], dtype=np.uint64).view(np.int64).tolist()) for s, y, q, t, v in describe(x)]
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["id", "scale", "place", "a", "b"])
 
-    schema = "id long, scale int, y int, x int, angle int" + "".join(f", w{i} long" for i in range(WORDS))
-    return images.select("id", "width", "height", "pixels").mapInArrow(run, schema)
+    return images.select("id", "width", "height", "pixels").mapInArrow(run, "id long, scale int, place long, a long, b long")
 
 
 def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
@@ -117,25 +115,25 @@ def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
 
     Equal images are one class, named by its smallest id, and compared once. Both inputs have (id, width, height,
     pixels). A match needs an equal 32-bit word, at most NEAR differing bits and one scale; VOTES matches must agree
-    on the shift, to a bin or its neighbour, and on the turn. Null ids and images that can't be read find nothing; an
-    empty table gives no rows. An equal image is found too if it has corners enough.
+    on the shift, to a bin or its neighbour, and on the turn. Rows of one id count as one image. Null ids and images that
+    can't be read find nothing; an empty table gives no rows. An equal image is found too if it has corners enough.
     """
-    kinds = classes(images)
-    first = images.join(kinds.select(F.col("class_id").alias("_id")).distinct(), F.col("id") == F.col("_id")).drop("_id").dropDuplicates(["id"])
-    stored = save(descriptors(first), "descriptors")
-    asked = save(descriptors(queries.where("id is not null").dropDuplicates(["id"])), "descriptors")
+    named = classes(images).select(F.col("class_id").alias("id")).distinct()
+    stored = save(descriptors(images).join(named, "id", "left_semi"), "descriptors")
+    asked = save(descriptors(queries.where("id is not null")), "descriptors")
 
     def words(d: DataFrame, side: str) -> DataFrame:
-        own = [F.col(c).alias(f"{c}_{side}") for c in ("id", "y", "x", "angle", *(f"w{i}" for i in range(WORDS)))]
-        keyed = F.array(*(F.struct(F.lit(i).alias("t"), F.col(f"w{i}").alias("v")) for i in range(WORDS)))
-        return d.select("scale", *own, F.explode(keyed).alias("k")).select("*", "k.t", "k.v").drop("k")
-
-    apart = sum((F.bit_count(F.col(f"w{i}_q").bitwiseXOR(F.col(f"w{i}_d"))) for i in range(1, WORDS)), F.bit_count(F.col("w0_q").bitwiseXOR(F.col("w0_d"))))
-    matches = words(asked, "q").join(words(stored, "d"), ["scale", "t", "v"]).where(apart <= NEAR)
-    turn = F.pmod(F.col("angle_q") - F.col("angle_d"), F.lit(ANGLES))
-    vote = matches.select("id_q", "id_d", "scale", "y_q", "x_q", F.round((F.col("y_d") - F.col("y_q")) / BIN).cast("int").alias("by"), F.round((F.col("x_d") - F.col("x_q")) / BIN).cast("int").alias("bx"), turn.alias("turn"))
-    each = vote.distinct()
-    bins = each.groupBy("id_q", "id_d", "by", "bx", "turn").agg(F.count("*").alias("n"))
+        """A row for each word, keyed by scale, the word's number and its value."""
+        value = [F.shiftrightunsigned("a", 32), F.col("a").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("b", 32), F.col("b").bitwiseAND(F.lit(0xFFFFFFFF))]
+        keys = F.array(*(v + F.lit(i << 32) + F.col("scale").cast("long") * F.lit(1 << 36) for i, v in enumerate(value)))
+        return d.select(*(F.col(c).alias(f"{c}_{side}") for c in ("id", "place", "a", "b")), F.explode(keys).alias("k"))
+
+    apart = F.bit_count(F.col("a_q").bitwiseXOR(F.col("a_d"))) + F.bit_count(F.col("b_q").bitwiseXOR(F.col("b_d")))
+    matches = words(asked, "q").join(words(stored, "d"), "k").where(apart <= NEAR)
+    at = {f"{c}_{s}": F.shiftrightunsigned(f"place_{s}", n).bitwiseAND(F.lit(m)).cast("int") for s in "qd" for c, n, m in (("y", 36, (1 << 27) - 1), ("x", 8, (1 << 28) - 1), ("t", 0, 255))}
+    turn = F.pmod(at["t_q"] - at["t_d"], F.lit(ANGLES))
+    vote = matches.select("id_q", "id_d", "place_q", F.round((at["y_d"] - at["y_q"]) / BIN).cast("int").alias("by"), F.round((at["x_d"] - at["x_q"]) / BIN).cast("int").alias("bx"), turn.alias("turn"))
+    bins = vote.distinct().groupBy("id_q", "id_d", "by", "bx", "turn").agg(F.count("*").alias("n"))
     # a shift on the border of two bins has votes in both
     spread = bins.select("id_q", "id_d", "turn", "n", F.explode(F.array(*(F.struct((F.col("by") + dy).alias("by"), (F.col("bx") + dx).alias("bx")) for dy in (0, 1) for dx in (0, 1)))).alias("b"))
     best = spread.groupBy("id_q", "id_d", "turn", "b").agg(F.sum("n").alias("n")).groupBy("id_q", "id_d").agg(F.max("n").alias("votes"))
@@ -150,9 +148,9 @@ def classes(images: DataFrame) -> DataFrame:
     return keyed.join(least, "h").select("id", "class_id")
 
 
-# Images for the query: the test tables hold none, so each embedding is drawn as rectangles.
+# Images for the query: the test tables hold none, so each embedding is drawn as a mosaic.
 
-SIDE = 72
+SIDE, TILE = 72, 4
 
 
 def draw(vector: list | None) -> bytes | None:
@@ -164,15 +162,7 @@ def draw(vector: list | None) -> bytes | None:
         return None
     seed = int.from_bytes(hashlib.sha256(np.floor(v * 1024).astype("<i8").tobytes()).digest()[:8], "little")
     r = np.random.default_rng(seed)
-    change = np.zeros((SIDE + 1, SIDE + 1))
-    for y, x, h, w, a in zip(r.integers(0, SIDE - 8, 28), r.integers(0, SIDE - 8, 28), r.integers(6, 30, 28), r.integers(6, 30, 28), r.integers(-90, 90, 28), strict=True):
-        y1, x1 = min(y + h, SIDE), min(x + w, SIDE)
-        change[y, x] += a
-        change[y1, x1] += a
-        change[y1, x] -= a
-        change[y, x1] -= a
-    image = change.cumsum(0).cumsum(1)[:SIDE, :SIDE]
-    image = 40 + 170 * (image - image.min()) / max(np.ptp(image), 1)
+    image = _box(np.kron(r.integers(0, 256, (SIDE // TILE, SIDE // TILE)), np.ones((TILE, TILE))), 1) / 9
     return np.rint(image).astype(np.uint8).tobytes()
 
 
