@@ -59,7 +59,7 @@ def set_keys(docs: DataFrame) -> DataFrame:
 _CELLS = pa.schema([("frag", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
 
 
-def _fragments(docs: DataFrame, fragments: int, flush: int = 1 << 20) -> DataFrame:
+def _fragments(docs: DataFrame, fragments: int, flush: int = 1 << 19) -> DataFrame:
     """Rows (frag, keys, counts, low, high): for a run of documents, the part of their sets in a fragment.
 
     40 bits of a hash are kept besides its fragment. A task sends a class once.
@@ -284,10 +284,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = save(shared_sets(docs, keys), "sets")
     release(docs.sparkSession)
     labels = link_classes(sets)
+    release(docs.sparkSession)
     classes = keys.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = classes.join(labels.withColumnRenamed("node", "key"), "key", "left")
     least = named.where("component is not null").groupBy("component").agg(F.min("least").alias("smallest"))
     groups = save(named.join(least, "component", "left").select("key", F.coalesce("smallest", "least").alias("component_id")), "groups")
+    drop(sets)
+    release(docs.sparkSession)
     full = keys.where("n > 0").join(groups, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = keys.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionByName(empty)

@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, size: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, row, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
+        part, row, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path, limit=120_000)
         end = np.array([end_id] if end_id is not None else [], dtype=f"<u{enc.width}").tobytes()
         for b in batches:
             for s in range(0, b.num_rows, 512):

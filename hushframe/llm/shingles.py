@@ -23,7 +23,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
             p = np.full(size, base, dtype=np.uint64)
             p[0] = 1

@@ -122,8 +122,8 @@ class ChunkEncoder:
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder per Python worker and path."""
+def encoder(path: str, limit: int = 450_000) -> ChunkEncoder:
+    """One encoder per Python worker and path; ``limit`` bounds its cache."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = ChunkEncoder(path, limit)
     return _ENCODERS[path]
