@@ -25,7 +25,7 @@ RADIUS = 9
 ANGLES = 24
 BITS, WORDS = 128, 4  # a descriptor is kept as two 64-bit integers, a and b
 #: Largest Hamming distance of a match, and votes for one shift that make a copy.
-NEAR, VOTES = 24, 5
+NEAR, VOTES = 16, 5
 #: Pixels of a bin of the shift.
 BIN = 8
 _IMAGE = "id long, width int, height int, pixels binary"
@@ -134,8 +134,11 @@ def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
     turn = F.pmod(at["t_q"] - at["t_d"], F.lit(ANGLES))
     vote = matches.select("id_q", "id_d", "place_q", F.round((at["y_d"] - at["y_q"]) / BIN).cast("int").alias("by"), F.round((at["x_d"] - at["x_q"]) / BIN).cast("int").alias("bx"), turn.alias("turn"))
     bins = vote.distinct().groupBy("id_q", "id_d", "by", "bx", "turn").agg(F.count("*").alias("n"))
+    # a pair with too few votes in all has too few for any shift; chance matches end here
+    voted = bins.groupBy("id_q", "id_d").agg(F.sum("n").alias("total"), F.collect_list(F.struct("by", "bx", "turn", "n")).alias("bins")).where(F.col("total") >= VOTES)
+    kept = voted.select("id_q", "id_d", F.explode("bins").alias("v")).select("id_q", "id_d", "v.*")
     # a shift on the border of two bins has votes in both
-    spread = bins.select("id_q", "id_d", "turn", "n", F.explode(F.array(*(F.struct((F.col("by") + dy).alias("by"), (F.col("bx") + dx).alias("bx")) for dy in (0, 1) for dx in (0, 1)))).alias("b"))
+    spread = kept.select("id_q", "id_d", "turn", "n", F.explode(F.array(*(F.struct((F.col("by") + dy).alias("by"), (F.col("bx") + dx).alias("bx")) for dy in (0, 1) for dx in (0, 1)))).alias("b"))
     best = spread.groupBy("id_q", "id_d", "turn", "b").agg(F.sum("n").alias("n")).groupBy("id_q", "id_d").agg(F.max("n").alias("votes"))
     return best.where(F.col("votes") >= VOTES).select(F.col("id_q").alias("query_id"), F.col("id_d").alias("class_id"), "votes")
 
