@@ -20,12 +20,12 @@ from .common import read_table, save
 
 SCALES = (1, 2)
 #: Corners kept for each image and scale, strongest first.
-CORNERS = 16
+CORNERS = 24
 RADIUS = 9
 ANGLES = 24
 BITS, WORDS = 128, 4  # a descriptor is kept as two 64-bit integers, a and b
 #: Largest Hamming distance of a match, and votes for one shift that make a copy.
-NEAR, VOTES = 16, 5
+NEAR, VOTES = 24, 5
 #: Pixels of a bin of the shift.
 BIN = 8
 _IMAGE = "id long, width int, height int, pixels binary"
@@ -151,9 +151,9 @@ def classes(images: DataFrame) -> DataFrame:
     return keyed.join(least, "h").select("id", "class_id")
 
 
-# Images for the query: the test tables hold none, so each embedding is drawn as a mosaic.
+# Images for the query: the test tables hold none, so each embedding is drawn as rectangles.
 
-SIDE, TILE = 72, 4
+SIDE = 72
 
 
 def draw(vector: list | None) -> bytes | None:
@@ -165,7 +165,15 @@ def draw(vector: list | None) -> bytes | None:
         return None
     seed = int.from_bytes(hashlib.sha256(np.floor(v * 1024).astype("<i8").tobytes()).digest()[:8], "little")
     r = np.random.default_rng(seed)
-    image = _box(np.kron(r.integers(0, 256, (SIDE // TILE, SIDE // TILE)), np.ones((TILE, TILE))), 1) / 9
+    change = np.zeros((SIDE + 1, SIDE + 1))
+    for y, x, h, w, a in zip(r.integers(0, SIDE - 8, 28), r.integers(0, SIDE - 8, 28), r.integers(6, 30, 28), r.integers(6, 30, 28), r.integers(-90, 90, 28), strict=True):
+        y1, x1 = min(y + h, SIDE), min(x + w, SIDE)
+        change[y, x] += a
+        change[y1, x1] += a
+        change[y1, x] -= a
+        change[y, x1] -= a
+    image = change.cumsum(0).cumsum(1)[:SIDE, :SIDE]
+    image = 40 + 170 * (image - image.min()) / max(np.ptp(image), 1)
     return np.rint(image).astype(np.uint8).tobytes()
 
 

@@ -30,3 +30,13 @@ def test_descriptors_follow_shift_and_brightness():
     assert len(same) >= 8 and sum(same) >= 0.9 * len(same)
     assert media.describe(np.zeros((72, 72))) == [] and media.describe(np.zeros((3, 3))) == []
     assert media.pixels(2, 2, b"abc") is None
+
+
+def test_weaker_matches_and_weaker_corners_count(spark, monkeypatch):
+    many = np.random.default_rng(3).integers(0, 256, (96, 96)).astype(float)
+    assert sum(s == 1 for s, *_ in media.describe(many)) == 24
+    # six corners a side at one shift, 20 bits apart
+    corners = "select id, 1 as scale, shiftleft(10L * c, 36) as place, shiftleft(c + 1L, 32) as a, if(id = 1, 0L, 1048575L) as b from {d} lateral view explode(sequence(1, 6)) as c"
+    monkeypatch.setattr(media, "descriptors", lambda d: spark.sql(corners, d=d))
+    frame = lambda i: spark.createDataFrame([(i, 1, 1, bytes([i]))], "id long, width int, height int, pixels binary")
+    assert [tuple(x)[:2] for x in media.find_copies(frame(1), frame(2)).collect()] == [(1, 2)]
