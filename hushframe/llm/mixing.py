@@ -31,7 +31,7 @@ def mix(docs: DataFrame, power: float = 0.5, weights: dict[str, float] | None =
     own size. Documents that draw 0 don't appear. A null source is a source of its own; one without weight, or of size 0,
     gives none. Equal ids draw alike. An empty table gives no rows; an input column ``copy`` is replaced.
     """
-    spark, cols = docs.sparkSession, [c for c in docs.columns if c not in ("copy", "_cdf")]
+    spark, cols = docs.sparkSession, [c for c in docs.columns if c not in ("copy", "_cdf", "_first")]
     amount = F.count("*").cast("double") if size_column is None else F.sum(F.coalesce(F.col(size_column), F.lit(0))).cast("double")
     sizes = docs.groupBy(F.col(source_column).alias("_s")).agg(amount.alias("_n")).where("_n > 0")
     everything = F.lit(None)
@@ -46,27 +46,46 @@ def mix(docs: DataFrame, power: float = 0.5, weights: dict[str, float] | None =
     if not total["c"]:
         return docs.select(*cols).withColumn("copy", F.lit(1)).limit(0)
     rate = F.col("_w") / F.lit(total["w"]) * F.lit(budget * total["n"]) / F.col("_n")
-    rates = sizes.select("_s", rate.alias("_rate")).withColumn("_cdf", poisson_cdf(F.col("_rate"))).drop("_rate")
+    rates = sizes.select("_s", rate.alias("_rate")).withColumn("_cdf", poisson_cdf(F.col("_rate"))).withColumn("_first", _first(F.col("_rate"))).drop("_rate")
     if total["c"] <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     joined = docs.select(*cols).join(rates, F.col(source_column).eqNullSafe(F.col("_s"))).drop("_s")
     u = _uniform(f"={seed}", id_column)
-    n = F.size(F.filter("_cdf", lambda p: p < u))
-    copies = joined.withColumn("_n", n).drop("_cdf").where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
+    n = F.when(u > 0, F.col("_first") + F.size(F.filter("_cdf", lambda p: p < u))).otherwise(F.lit(0))
+    copies = joined.withColumn("_n", n).drop("_cdf", "_first").where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
     place = F.xxhash64(F.lit(seed), F.col(id_column), F.col("copy"))
     return copies.repartition(partitions(spark), place).sortWithinPartitions(place)
 
 
+def _first(rate):
+    """The number from which poisson_cdf() counts: lower ones have less mass than a 52-bit uniform number can tell from 0."""
+    return F.greatest(F.floor(rate - 9 * F.sqrt(rate) - 25), F.lit(0)).cast("int")
+
+
 def poisson_cdf(rate):
-    """The distribution function at 0, 1, ... up to where a 52-bit uniform number can no longer tell it from 1."""
-    last = F.ceil(rate + 9 * F.sqrt(rate) + 25).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.array(F.exp(-rate)).alias("a"))
+    """The distribution function at _first(rate) and on, up to where a 52-bit uniform number can no longer tell it from 1.
+
+    Terms are built outward from the mode, relative to its own, and divided by their sum, so that none underflows.
+    """
+    first, mode, last = _first(rate), F.floor(rate).cast("int"), F.ceil(rate + 9 * F.sqrt(rate) + 25).cast("int")
+
+    def terms(numbers, ratio):
+        start = F.struct(F.lit(1.0).alias("p"), F.array().cast("array<double>").alias("a"))
+
+        def step(s, k):
+            p = s["p"] * ratio(k)
+            return F.struct(p.alias("p"), F.concat(s["a"], F.array(p)).alias("a"))
+
+        return F.aggregate(numbers, start, step)["a"]
+
+    below = F.when(mode > first, F.sequence(mode, first + 1, F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    weights = F.concat(F.reverse(terms(below, lambda k: k / rate)), F.array(F.lit(1.0)), terms(F.sequence(mode + 1, last), lambda k: rate / k))
+    zero = F.struct(F.lit(0.0).alias("c"), F.array().cast("array<double>").alias("a"))
 
-    def step(s, k):
-        p = s["p"] * rate / k
-        return F.struct(p.alias("p"), (s["c"] + p).alias("c"), F.concat(s["a"], F.array(s["c"] + p)).alias("a"))
+    def add(s, p):
+        return F.struct((s["c"] + p).alias("c"), F.concat(s["a"], F.array(s["c"] + p)).alias("a"))
 
-    return F.aggregate(F.sequence(F.lit(1), last), start, step)["a"]
+    return F.aggregate(weights, zero, add, lambda s: F.transform(s["a"], lambda c: c / s["c"]))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

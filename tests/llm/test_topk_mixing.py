@@ -54,3 +54,20 @@ def test_poisson_cdf(spark):
     a = spark.range(1).select(mixing.poisson_cdf(F.lit(2.5)).alias("a")).first().a
     want = np.cumsum([math.exp(-2.5) * 2.5**k / math.factorial(k) for k in range(len(a))])
     assert np.allclose(a, want) and a[-1] > 1 - 1e-15
+
+
+def test_poisson_cdf_of_large_rates(spark):
+    for rate in (740.5, 1000.0, 100000.0):
+        first, a = spark.range(1).select(mixing._first(F.lit(rate)).alias("f"), mixing.poisson_cdf(F.lit(rate)).alias("a")).first()
+        k = np.arange(first + len(a))
+        want = np.cumsum([math.exp(-rate + i * math.log(rate) - math.lgamma(i + 1)) for i in k])
+        assert np.allclose(a, want[first:], rtol=0, atol=1e-8) and a[-1] > 1 - 1e-12
+        assert not first or want[first - 1] < 2**-52
+
+
+def test_mix_to_large_rates(spark):
+    rows = [(i, "a" if i < 20 else "b") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    for budget, rate in ((5.0, 1000), (50.0, 10000)):
+        n = [r["count"] for r in mixing.mix(docs, weights={"a": 1.0}, budget=budget).groupBy("doc_id").count().collect()]
+        assert len(n) == 20 and len(set(n)) > 10 and all(abs(x - rate) < 5 * rate**0.5 for x in n)
