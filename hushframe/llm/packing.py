@@ -33,16 +33,16 @@ def cut(n: int, size: int, sand: bool) -> list[int]:
     return [size] * (n // size) + parts
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, size: int = SEQUENCE, sand_every: int = SAND_EVERY) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, size: int = SEQUENCE, sand_every: int = SAND_EVERY, added: bool = False) -> DataFrame:
     """Rows of _PIECES for whole texts of (doc_id, text): ids of each document with the end id, cut and digested.
 
-    ``part`` and ``row`` number the pieces of a task.
+    ``part`` and ``row`` number the pieces of a task. ``added`` as in ChunkEncoder.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, row, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path, limit=120_000)
+        part, row, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path, limit=120_000, added=added)
         end = np.array([end_id] if end_id is not None else [], dtype=f"<u{enc.width}").tobytes()
         for b in batches:
             for s in range(0, b.num_rows, 512):
@@ -110,14 +110,14 @@ def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
     return np.array(sorted(out), dtype=np.int64).reshape(-1, 4)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, size: int = SEQUENCE, sand_every: int = SAND_EVERY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, size: int = SEQUENCE, sand_every: int = SAND_EVERY, added: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): the pieces of all documents in sequences.
 
     A sequence holds at most ``size`` ids, its pieces gapless from offset 0. A null or empty text is its end id alone,
     and nothing without one. Repeated rows are packed as often as they occur; null ids are kept. An empty table gives no
-    rows.
+    rows. ``added`` as in ChunkEncoder.
     """
-    found = save(pieces(docs, tokenizer_path, end_id, size, sand_every), "pieces")
+    found = save(pieces(docs, tokenizer_path, end_id, size, sand_every, added), "pieces")
     counts = save(found.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
     table = slots(plan(histogram, size))
@@ -147,4 +147,4 @@ def op7_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = N
     """All documents in sequences of at most 2048 ids."""
     import public_tokenizers
 
-    return pack(read_table(spark, sf_dir, "documents"), tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
+    return pack(read_table(spark, sf_dir, "documents"), tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), added=True)

@@ -55,11 +55,11 @@ def _staged_schema() -> str:
     return "doc_id long, part int, row long, ids binary"
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_column: str = "doc_id", text_column: str = "text", added: bool = False) -> DataFrame:
     """(doc_id, part, row, ids): little-endian unsigned 32-bit ids of whole texts, in ascending doc_id order.
 
     ``part`` is a range of doc_ids, ``row`` the place in it; nulls sort first and equal doc_ids by a hash of the text. A
-    null text is empty. A task's last row, of row -1, has how often it saw each id, as 64-bit integers.
+    null text is empty. ``added`` as in ChunkEncoder. A task's last row, of row -1, has how often it saw each id, as 64-bit integers.
     """
     n = partitions(docs.sparkSession)
     tie = F.xxhash64("text")
@@ -68,7 +68,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_column
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, row, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
+        part, row, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path, added=added)
         seen = np.zeros(0, dtype="<i8")
         end = np.array([end_id] if end_id is not None else [], dtype=f"<u{enc.width}").tobytes()
         for b in batches:
@@ -105,14 +105,14 @@ def id_counts(staged: DataFrame) -> DataFrame:
     return staged.where("row = -1").select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 2, block_ids: int = 1 << 18) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 2, block_ids: int = 1 << 18, added: bool = False) -> None:
     """Writes the ids of all documents below path: ``blocks`` (Parquet rows, each a coded block) and ``ranks``.
 
     The rank table has at most one row for each id of the vocabulary, which bounds what reaches the driver. A block ends
-    at block_ids ids, or holds one longer document. An empty table gives no blocks.
+    at block_ids ids, or holds one longer document. ``added`` as in ChunkEncoder. An empty table gives no blocks.
     """
     spark = docs.sparkSession
-    staged = save(tokenize(docs, tokenizer_path, end_id), "ids")
+    staged = save(tokenize(docs, tokenizer_path, end_id, added=added), "ids")
     release(spark)
     top = id_counts(staged).toPandas().sort_values(["n", "id"], ascending=[False, True])
     order = top["id"].to_numpy(dtype=np.int64)
@@ -190,5 +190,5 @@ def op2_token_ids(spark: SparkSession, sf_dir: str, tokenizer_path: str | None =
     from .common import read_table
 
     path = new_path(spark, "token-files")
-    write_ids(read_table(spark, sf_dir, "documents"), path, tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
+    write_ids(read_table(spark, sf_dir, "documents"), path, tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"), added=True)
     return digest_ids(spark, path)

@@ -53,14 +53,15 @@ class ChunkEncoder:
     the tokenizer's own pre-tokenizer always ends a piece, so the ids equal those of the whole text: for a byte-level
     tokenizer before a single space or line break between two characters that are no white space; for one that drops
     white space, at any space or line break. A tokenizer of another kind encodes whole texts. The cache holds
-    two generations of about ``limit`` chunks.
+    two generations of about ``limit`` chunks. With ``added``, literals of the tokenizer's added tokens become those
+    tokens, as is the library's default; a text that holds one is encoded whole. Without, they are plain text.
     """
 
-    def __init__(self, path: str, limit: int = 450_000):
+    def __init__(self, path: str, limit: int = 450_000, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         normal, pre = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
@@ -70,6 +71,10 @@ class ChunkEncoder:
             self.kind = "byte"
         elif parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and r"[^\s\p{L}\p{N}]+" in parts[0]["pattern"].get("Regex", ""):
             self.kind = "word"
+        literals = [t for t in spec.get("added_tokens") or [] if added]
+        if normal is not None and any(t.get("normalized") for t in literals):
+            self.kind = "plain"  # the literal may arise from normalizing alone
+        self.literal = re.compile("|".join(re.escape(t["content"]) for t in literals)).search if literals else None
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.code = {2: "H", 4: "I"}[self.width]
         self.limit, self.table, self.model = limit, _byte_table(), self.tokenizer.model
@@ -115,15 +120,15 @@ class ChunkEncoder:
         for cache in (self.cache, self.pieces):
             if len(cache) > self.limit:
                 cache.turn()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, self._chunks(t))) for t in texts]
+        get, literal = self.cache.__getitem__, self.literal
+        return [self._direct([t])[0] if literal and literal(t) else b"".join(map(get, self._chunks(t))) for t in texts]
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def encoder(path: str, limit: int = 450_000) -> ChunkEncoder:
-    """One encoder per Python worker and path; ``limit`` bounds its cache."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path, limit)
-    return _ENCODERS[path]
+def encoder(path: str, limit: int = 450_000, added: bool = False) -> ChunkEncoder:
+    """One encoder per Python worker, path and ``added``; ``limit`` bounds its cache."""
+    if (path, added) not in _ENCODERS:
+        _ENCODERS[path, added] = ChunkEncoder(path, limit, added)
+    return _ENCODERS[path, added]

@@ -68,3 +68,29 @@ def test_common_ids_take_one_byte(spark):
     token_ids.write_ids(docs, path, P.path("byte_bpe_50k.json"))
     for r in spark.read.parquet(f"{path}/blocks").collect():
         assert len(r.data) == sum(r.lengths) and len(r.control) == -(-sum(r.lengths) // 4)
+
+
+LITERAL = ["ab <|endoftext|> cd", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|startoftext|> É a", "<|ENDOFTEXT|> <|endoftext", *ODD]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_literals_of_added_tokens_equal_the_library(name):
+    enc, ref = ChunkEncoder(P.path(name), limit=50, added=True), Tokenizer.from_file(P.path(name))
+    assert enc.kind == name.split("_")[0]
+    for t, got in zip(LITERAL, enc.encode(LITERAL), strict=True):
+        assert list(np.frombuffer(got, dtype=f"<u{enc.width}")) == ref.encode(t, add_special_tokens=False).ids
+
+
+def test_queries_keep_the_library_defaults(spark, tmp_path):
+    from hushframe.llm import packing
+
+    docs = list(enumerate(LITERAL))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ref = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids = {d: np.array([*ref.encode(t, add_special_tokens=False).ids, 2], "<u4") for d, t in docs}
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_ids.op2_token_ids(spark, str(tmp_path)).collect()}
+    start = np.cumsum([0, *map(len, ids.values())]).tolist()
+    assert got == {d: (start[d], len(i), zlib.crc32(i.tobytes())) for d, i in ids.items()}
+    ref = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    got = {r.doc_id: r.doc_tokens for r in packing.op7_packing(spark, str(tmp_path)).collect()}
+    assert got == {d: len(ref.encode(t, add_special_tokens=False).ids) + 1 for d, t in docs}
