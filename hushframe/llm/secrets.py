@@ -21,7 +21,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 LEAST_ASSIGN = 12
 #: Tokens that the battery tests.
-TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+LEAST = 20
+TOKEN = rf"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}"
 FDR = 0.05
 _BINS = 300
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -72,8 +73,28 @@ def _battery(token: Column) -> Column:
     for alphabet in reversed(list(ENCODINGS.values())):
         inside = token.rlike("^[" + alphabet.replace("-", r"\-") + "]+$")
         out = F.when(inside, _tests(token, alphabet)).otherwise(out)
-    mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]")
-    return F.when(mixed, out)
+    return out
+
+
+def _parts(m: Column, s: Column) -> Column:
+    """Array of (s, e, t), t without padding, of a match m at s: the whole, or if no encoding holds it, the runs of at
+    least LEAST characters between + and /, and those between - and _; runs of the two kinds may overlap."""
+    body = F.rtrim(m, F.lit("="))
+    whole = F.array(F.struct(s.alias("s"), (s + F.length(m)).alias("e"), body.alias("t")))
+    runs = []
+    for cut in (r"[+/]", r"[_-]"):
+        zero = F.struct(s.alias("at"), F.array().cast("array<struct<s:bigint,e:bigint,t:string>>").alias("a"))
+
+        def step(acc, t):
+            e = acc["at"] + F.length(t)
+            own = F.when(F.length(t) >= LEAST, F.array(F.struct(acc["at"].alias("s"), e.alias("e"), t.alias("t")))).otherwise(F.array().cast("array<struct<s:bigint,e:bigint,t:string>>"))
+            return F.struct((e + 1).alias("at"), F.concat(acc["a"], own).alias("a"))
+
+        runs.append(F.aggregate(F.split(body, cut, -1), zero, step)["a"])
+    # the last run has the match's padding
+    end = s + F.length(body)
+    padded = F.transform(F.concat(*runs), lambda x: F.struct(x["s"].alias("s"), F.when(x["e"] == end, s + F.length(m)).otherwise(x["e"]).alias("e"), x["t"].alias("t")))
+    return F.when(body.rlike("[+/]") & body.rlike("[_-]"), F.array_sort(padded)).otherwise(whole)
 
 
 def _tests(token: Column, alphabet: str) -> Column:
@@ -118,8 +139,8 @@ def _candidates(docs: DataFrame) -> DataFrame:
     d = d.withColumn("s_assign", F.filter(F.zip_with("s_assign", long_enough, lambda s, ok: F.when(ok, s)), lambda s: s.isNotNull()))
     base = F.concat(*(_as_kind(F.col(f"s_{k}"), i) for i, k in enumerate(KINDS)))
     d = d.select("doc_id", "m_token", "s_token", *(F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in KINDS), F.array_sort(base).alias("base"))
-    tested = F.zip_with("m_token", "s_token", lambda m, s: F.struct(s["s"].alias("s"), s["e"].alias("e"), F.rtrim(m, F.lit("=")).alias("t")))
-    tested = F.filter(tested, lambda x: x["t"].rlike("[0-9]") & x["t"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    tested = F.flatten(F.zip_with("m_token", "s_token", lambda m, s: _parts(m, s["s"])))
+    tested = F.filter(tested, lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     d = d.select("doc_id", *(f"n_{k}" for k in KINDS), "base", tested.alias("tokens"))
     scored = F.transform("tokens", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.least(F.floor(F.log2(F.length(x["t"]).cast("double"))), F.lit(15)).cast("int").alias("stratum"), F.least(F.floor(-10 * F.log10(_battery(x["t"]))), F.lit(_BINS)).cast("int").alias("bin")))
     return d.withColumn("tokens", F.filter(scored, lambda x: x["bin"].isNotNull()))
@@ -144,7 +165,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random) for each row of (doc_id, text).
 
     Base kinds are the leftmost non-overlapping matches of their patterns, without those too short. ``random`` spans are
-    tokens that the battery doesn't reject and that no base span overlaps. Spans are kind:start:end in code points, end
+    tokens that the battery doesn't reject and that no base span overlaps; of a token that no encoding holds, its runs
+    between + and / and those between - and _, which may overlap. Spans are kind:start:end in code points, end
     exclusive, by start and kind, comma-joined; base_sha256 is of the base spans alone. A null text is empty and has no
     spans. Every row of the input, repeated ones and those without id too, has one row; an empty table gives none.
     """

@@ -56,3 +56,19 @@ def test_empty_table_and_no_python(spark):
     assert secrets.scan_secrets(docs).count() == 0
     plan = secrets.scan_secrets(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_keys_in_paths_and_keys_without_digits(spark):
+    r = random.Random(7)
+    url, rows = string.ascii_letters + string.digits + "-_", []
+    key = lambda a, n: next(k for k in iter(lambda: "".join(r.choices(a, k=n)), "") if k[0].isalnum() and k[-1].isalnum())
+    known = "aZ3kQ9x_7Tt-Lp0vBn4R"
+    texts = [("https://hooks.example.com/services/in_bound/", known, "")] + [("see https://example.com/in_bound/", key(url, 40), "/x_y end") for _ in range(60)]
+    texts += [("left_right-", key(string.ascii_letters + string.digits, 20) + "/" + key(string.ascii_letters + string.digits + "+/", 20) + "==", " end") for _ in range(60)]
+    texts += [("left ", key(string.ascii_letters, 20), " right") for _ in range(60)]
+    texts += [("left ", "-" * 30 + " " + "z" * 25 + " " + "path/to/some/module/of_this-and/that", " right") for _ in range(60)]
+    rows = [(i, a + k + b) for i, (a, k, b) in enumerate(texts)]
+    got = {k[0]: v.split(",") for k, v in scan(spark, rows).items()}
+    hit = [f"random:{len(a)}:{len(a) + len(k)}" in got[i] for i, (a, k, _) in enumerate(texts)]
+    assert hit[0] and sum(hit[1:61]) >= 54 and sum(hit[61:121]) >= 50 and sum(hit[121:181]) >= 40
+    assert all(got[i] == [""] for i in range(181, 241))
