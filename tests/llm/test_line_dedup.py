@@ -51,3 +51,28 @@ def test_defined_cases(spark):
     rows = [(1, None), (2, ""), (3, ""), (4, long), (5, long), (None, long), (6, "one two three four five\none two three four five"), (7, "the.\nof."), (8, "the.\nof."), (9, "same same same same same"), (9, "same same same same same"), (10, "\n\n"), (11, "é ß x y z\r\nq"), (12, "é ß x y z\r\nw")]
     assert run(spark, rows) == brute(rows, 5)
     assert run(spark, []) == []
+
+
+def every(rows, min_words):
+    """Lines deleted by comparing runs of every length, for distinct ids and texts without null."""
+    gone, seen = {}, set()
+    for d, t in sorted(rows):
+        x = t.split("\n")
+        gone[d] = set()
+        for i in range(len(x)):
+            for k in range(1, len(x) - i + 1):
+                run = tuple(x[i : i + k])
+                if run in seen and len(" ".join(run).split()) >= min_words:
+                    gone[d] |= set(range(i, i + k))
+                seen.add(run)
+    return sorted(((d, "\n".join(s for i, s in enumerate(t.split("\n")) if i not in gone[d]), len(gone[d])) for d, t in rows), key=str)
+
+
+def test_equals_runs_of_every_length(spark):
+    r = random.Random(8)
+    menu = "home\nnews\nshop\nabout\nhelp\nlogin"
+    rows = [(i, f"own {i}\n{menu}\nend {i}") for i in range(5)] + [(i, f"a {i}\nx y\nz w\nu v\nb {i}") for i in range(5, 8)]
+    rows += [(i, f"c {i}\none two three four five six\nshort\nx\nd {i}") for i in range(8, 11)]
+    rows += [(i, "\n".join(r.choices(["p", "q", "", "s t"], k=r.choice([3, 9, 25])))) for i in range(11, 40)]
+    assert run(spark, rows) == every(rows, 5)
+    assert run(spark, rows, 9) == every(rows, 9)
