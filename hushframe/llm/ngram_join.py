@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, drop, partitions, read_table, release, save
-from .shingles import class_key, shingle_sets
+from .shingles import class_key, shingle_sets, text_slices
 
 #: Percent of the union that two sets must share.
 THRESHOLD = 75
@@ -39,10 +39,9 @@ _SET = ["key", "n", "m", *SKETCH]
 _H = np.uint64((1 << 40) - 1)
 
 
-def _text_sets(batches: Iterator[pa.RecordBatch], column: int, step: int = 256):
+def _text_sets(batches: Iterator[pa.RecordBatch], column: int):
     for b in batches:
-        for s in range(0, b.num_rows, step):
-            x = b.slice(s, step)
+        for x in text_slices(b, column):
             yield x, shingle_sets(x.column(column).to_pylist())
 
 

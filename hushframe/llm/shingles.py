@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -31,6 +35,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def text_slices(b: pa.RecordBatch, column: int, rows: int = 256, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows`` rows and, if of more than one, ``size`` bytes of text."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < b.num_rows:
+        before = total[start - 1] if start else 0
+        end = min(start + rows, max(start + 1, int(np.searchsorted(total, before + size, side="right"))))
+        yield b.slice(start, end - start)
+        start = end
+
+
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all texts in order, and the place of each text's first word (and the end)."""
     buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)

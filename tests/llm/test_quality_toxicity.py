@@ -78,12 +78,12 @@ def test_quality_by_held_out_accuracy(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     docs = spark.createDataFrame([x[:5] for x in rows] + [(9000, None, None, None, None), (9001, "", "en", "s1", 0), (None, "wak " * 9, "en", "s1", 5)], schema).withColumn("y", F.lit("clash")).withColumn("keep", F.lit(1))
     labels = spark.createDataFrame([(x[0], x[5]) for x in rows if x[0] % 3] + [(4, None), (None, 1)], "doc_id long, quality int")
-    got = quality.classify(docs, labels, labelled=600, unlabelled=300).collect()
+    got = quality.classify(docs, labels, labelled=600).collect()
     truth = {x[0]: x[5] for x in rows if x[0] % 3 == 0}
     assert len(got) == len(rows) + 3
     assert np.mean([r.keep == truth[r.doc_id] for r in got if r.doc_id in truth]) > 0.97
     assert np.mean([(r.metadata_quality >= 0.5) == truth[r.doc_id] for r in got if r.doc_id in truth]) > 0.85
-    kept = quality.filter_quality(docs, labels, labelled=600, unlabelled=300)
+    kept = quality.filter_quality(docs, labels, labelled=600)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.keep)
 
@@ -97,8 +97,43 @@ def test_quality_without_labels_or_rows(spark):
 
 def test_views_teach_each_other():
     r = np.random.default_rng(0)
-    y = (r.random(400) < 0.5).astype(float)
-    views = [np.column_stack([y * 2 + r.normal(size=400), r.normal(size=400)]), np.column_stack([y * 3 + r.normal(size=400)])]
-    few = np.arange(400) < 60
-    model = quality.co_train([v[few] for v in views], y[few], np.arange(60) % 4 == 0, [v[~few] for v in views])
-    assert np.mean((model.scores([v[~few] for v in views])[0] >= 0.5) == y[~few]) > 0.9
+    n, k = 6000, 240
+    few = np.arange(n) < k
+    y = (r.random(n) < 0.5).astype(float)
+    content = r.normal(size=(n, quality.WIDTH))
+    content[:, 0] += 5 * y
+    cells = (y.astype(int) * 30 + r.integers(0, 30, n)) * 16 * 32 + r.integers(0, 32, n)  # too many sources to learn from few
+    pool = lambda t: quality.pool_pass(content[~few], cells[~few], t)
+    model = quality.co_train(content[few], cells[few], y[few], np.arange(k) % 6, pool)
+    alone = quality.co_train(content[few], cells[few], y[few], np.arange(k) % 6, pool, rounds=0)
+    right = lambda m, i: np.mean((m.scores(content[~few], cells[~few])[i] >= 0.5) == y[~few])
+    assert right(model, 0) > 0.95 and right(model, 2) > right(alone, 2) + 0.02
+    assert model.taught[-1][1] > 1000 and alone.taught == []  # pseudo-labels for metadata: no bound on the pool
+
+
+def test_pool_sums_do_not_depend_on_partitions(spark):
+    rows = quality_rows(400, 5)
+    docs = spark.createDataFrame([x[:5] for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(x[0], x[5]) for x in rows[:200]], "doc_id long, quality int")
+    one, many = ({r.doc_id: r.quality for r in quality.classify(docs.repartition(n), labels).collect()} for n in (1, 7))
+    assert max(abs(one[d] - many[d]) for d in one) < 1e-6
+
+
+def test_quality_of_repeated_rows_and_long_texts(spark):
+    rows = quality_rows(300, 6)
+    more = [rows[1][:5], rows[1][:5], (rows[2][0], "other text under the id " * 9, "en", "s1", 3), (7000, "wak wal " * 200_000, "en", "s1", 1_600_000), (7001, "$$$ " * 300_000, None, None, None)]
+    docs = spark.createDataFrame([x[:5] for x in rows] + more, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(x[0], x[5]) for x in rows] + [(rows[0][0], 0), (5, 9)], "doc_id long, quality int")
+    got = quality.classify(docs, labels).collect()
+    same = {r.quality for r in got if r.doc_id == rows[1][0]}
+    assert len(got) == 305 and len(same) == 1 and {r.keep for r in got if r.doc_id == 7001} == {0}
+
+
+def test_text_slices():
+    import pyarrow as pa
+
+    from hushframe.llm.shingles import text_slices
+
+    b = pa.RecordBatch.from_arrays([pa.array(["aa", None, "", "x" * 50, "b", "c" * 9, "d"])], names=["t"])
+    parts = [x.column(0).to_pylist() for x in text_slices(b, 0, rows=3, size=10)]
+    assert parts == [["aa", None, ""], ["x" * 50], ["b", "c" * 9], ["d"]] and list(text_slices(b.slice(0, 0), 0)) == []
