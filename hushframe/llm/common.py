@@ -19,9 +19,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one only where it names none, as in tests."""
+    """The shared folder that the session names; a temporary one only where it names none and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="hushframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -96,7 +98,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def running_total(df: DataFrame, keys: list[str], count: str, name: str) -> DataFrame:
-    """Adds ``before``: the sum of ``count`` over all rows whose keys sort lower. Keys must be distinct.
+    """Adds ``before``: the sum of ``count`` over all rows whose keys sort lower. Keys must be distinct. drop() takes the result.
 
     Rows are range-partitioned, each part sums on its own, and only one total per part meets in a single task.
     """
@@ -107,4 +109,6 @@ def running_total(df: DataFrame, keys: list[str], count: str, name: str) -> Data
     offsets = totals.select("_part", F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_o"))  # a row per part
     inner = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     own = parted.withColumn("_b", F.coalesce(F.sum(count).over(inner), F.lit(0)))
-    return own.join(F.broadcast(offsets), "_part").withColumn("before", F.col("_b") + F.col("_o")).drop("_part", "_b", "_o")
+    out = own.join(F.broadcast(offsets), "_part").withColumn("before", F.col("_b") + F.col("_o")).drop("_part", "_b", "_o")
+    out._scratch_path = parted._scratch_path
+    return out

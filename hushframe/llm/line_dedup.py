@@ -1,6 +1,6 @@
 """Line dedup: repeated runs of lines by distributed prefix doubling; later copies are deleted.
 
-Lines become ids: the rank of their hash. The suffixes of all documents' line sequences are sorted by prefix doubling
+Lines become ids: the rank of their 128-bit hash. The suffixes of all documents' line sequences are sorted by prefix doubling
 with discarding: from the ranks of runs of 2^k lines, the pair of ranks at a position and 2^k lines on gives the rank of
 the run of 2^(k+1) lines there. A rank is the number of suffixes that sort before, so equal ranks are an interval of the
 suffix array whose longest common prefix is at least that long; suffixes alone in theirs are settled and drop out.
@@ -21,34 +21,36 @@ _AT = ["_id", "_dk", "ln"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Documents with (_id, _dk): rows of the same id and text count as one document."""
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("_dk", F.xxhash64("doc_id", "text"))
+    """(_id, _dk, _row): rows of the same id and text count as one document; _row is the whole row."""
+    row = F.struct(*docs.columns)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_id"), F.xxhash64("doc_id", "text").alias("_dk"), row.alias("_row"))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(_id, _dk, gone): the places, from 0, of each document's lines that are later copies."""
     lines = (
-        _keyed(docs)
-        .where("text is not null")
-        .select("_id", "_dk", F.posexplode(F.split("text", "\n", -1)).alias("ln", "line"))
-        .select(*_AT, F.xxhash64("line").alias("h"), F.size(F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != "")).alias("w"))
+        _keyed(docs.select("doc_id", "text").where("text is not null"))
+        .select("_id", "_dk", F.posexplode(F.split("_row.text", "\n", -1)).alias("ln", "line"))
+        .select(*_AT, F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line", F.length("line")).alias("h2"), F.size(F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != "")).alias("w"))
     )
     lines = save(lines, "lines")
     unique = lines.dropDuplicates(_AT)
     place = F.struct(*_AT)
-    groups = unique.groupBy("h").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1")
-    ranked = running_total(groups, ["h"], "c", "ranks").select("h", F.col("before").alias("r"), "first")
-    level = save(unique.join(ranked, "h").select(*_AT, "w", "r", "first"), "level")
+    groups = unique.groupBy("h", "h2").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1")
+    ranked = running_total(groups, ["h", "h2"], "c", "ranks")
+    level = save(unique.join(ranked, ["h", "h2"]).select(*_AT, "w", F.col("before").alias("r"), "first"), "level")
+    drop(lines, ranked)
     levels, k = [level], 0
     while True:
         step = 1 << k
         ahead = level.select("_id", "_dk", (F.col("ln") - step).alias("ln"), F.col("r").alias("r2"), F.col("w").alias("w2"))
         pairs = save(level.select(*_AT, "r", "w").join(ahead, _AT).select(*_AT, F.col("r").alias("r1"), "r2", (F.col("w") + F.col("w2")).alias("w")), "pairs")
         groups = pairs.groupBy("r1", "r2").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1")
-        ranked = running_total(groups, ["r1", "r2"], "c", "ranks").select("r1", "r2", F.col("before").alias("r"), "first")
-        level = save(pairs.join(ranked, ["r1", "r2"]).select(*_AT, "w", "r", "first"), "level")
-        drop(pairs)
+        ranked = running_total(groups, ["r1", "r2"], "c", "ranks")
+        level = save(pairs.join(ranked, ["r1", "r2"]).select(*_AT, "w", F.col("before").alias("r"), "first"), "level")
+        drop(pairs, ranked)
         if level.isEmpty():
+            drop(level)
             break
         levels.append(level)
         k += 1
@@ -68,7 +70,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         spread = reach.join(more, _AT, "left").withColumn("to", F.greatest("to", F.max(F.col("ln") + F.coalesce("more", F.lit(0))).over(so_far)))
     gone = spread.where(F.col("to") > F.col("ln"))
     out = save(gone.groupBy("_id", "_dk").agg(F.collect_list("ln").alias("gone")), "gone")
-    drop(reach)
+    drop(reach, *levels, *([more] if more is not None else []))
     return out
 
 
@@ -118,19 +120,27 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     A line goes if it lies in a run of whole lines, of any number, ``min_words`` words or more in all, that also starts
     at an earlier place: at a smaller doc_id, or further up in the document. Lines are parted by line feeds alone and
-    compared exactly. Null ids come last; a null text stays null with no lines; an empty one is one empty line, which has
-    no words. Rows of the same id and text lose the same lines. A text that loses all lines becomes empty. Input columns
-    lines_kept and lines_deleted are replaced. An empty table gives no rows.
+    told apart by 128 bits of hashes and their length. Null ids come last; a null text stays null with no lines; an empty
+    one is one empty line, which has no words. Rows of the same id and text lose the same lines. A text that loses all
+    lines becomes empty. Input columns lines_kept and lines_deleted are replaced, all others kept under any name. The work
+    on a text is linear in its lines. An empty table gives no rows.
     """
-    gone = repeated_lines(docs, min_words).withColumnRenamed("gone", "_gone")
+    gone = repeated_lines(docs, min_words)
     kept = [c for c in docs.columns if c not in ("lines_kept", "lines_deleted")]
     joined = _keyed(docs.select(*kept)).join(gone, ["_id", "_dk"], "left")
-    lines = F.split("text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    total = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines))
-    deleted = F.coalesce(F.size("_gone"), F.lit(0))
-    return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in kept), (total - F.greatest(deleted, F.lit(0))).alias("lines_kept"), F.greatest(deleted, F.lit(0)).alias("lines_deleted"))
+    text = F.col("_row").getField("text")
+    lines = F.split(text, "\n", -1)
+
+    def rest(x):
+        left = F.array_except(F.sequence(F.lit(0), F.size(x["lines"]) - 1), x["gone"])
+        return F.array_join(F.transform(left, lambda i: F.get(x["lines"], i)), "\n")
+
+    # as a variable of the lambda, a text is split once
+    rebuilt = F.get(F.transform(F.array(F.struct(lines.alias("lines"), F.col("gone").alias("gone"))), rest), F.lit(0))
+    new = F.when(F.col("gone").isNull(), text).otherwise(rebuilt)
+    total = F.when(text.isNull(), F.lit(0)).otherwise(F.size(lines))
+    deleted = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone"))
+    return joined.select(*((new if c == "text" else F.col("_row").getField(c)).alias(c) for c in kept), (total - deleted).alias("lines_kept"), deleted.alias("lines_deleted"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
