@@ -18,8 +18,8 @@ BROADCAST_SOURCES = 50_000
 _HEX = 13  # hex digits, 52 bits, of a uniform number
 
 
-def _uniform(*columns: str):
-    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) if not c.startswith("=") else F.lit(c[1:]) for c in columns))
+def _uniform(seed: int, key):
+    text = F.concat(F.lit(f"{seed}|"), key)
     return F.conv(F.substring(F.md5(text), 1, _HEX), 16, 10).cast("double") / float(16**_HEX)
 
 
@@ -29,9 +29,10 @@ def mix(docs: DataFrame, power: float = 0.5, weights: dict[str, float] | None =
     Target share of a source: its weight in ``weights``, or its size to the power ``power``, over the sum of all. Size is
     the number of documents, or the sum of ``size_column``. A source's mean rate is share * budget * total size / its
     own size. Documents that draw 0 don't appear. A null source is a source of its own; one without weight, or of size 0,
-    gives none. Equal ids draw alike. An empty table gives no rows; an input column ``copy`` is replaced.
+    gives none. Equal ids draw alike; each row without id draws on its own, by its place in the input. An empty table gives
+    no rows; an input column ``copy`` is replaced, all others kept under any name.
     """
-    spark, cols = docs.sparkSession, [c for c in docs.columns if c not in ("copy", "_cdf", "_first")]
+    spark, cols = docs.sparkSession, [c for c in docs.columns if c != "copy"]
     amount = F.count("*").cast("double") if size_column is None else F.sum(F.coalesce(F.col(size_column), F.lit(0))).cast("double")
     sizes = docs.groupBy(F.col(source_column).alias("_s")).agg(amount.alias("_n")).where("_n > 0")
     everything = F.lit(None)
@@ -49,12 +50,16 @@ def mix(docs: DataFrame, power: float = 0.5, weights: dict[str, float] | None =
     rates = sizes.select("_s", rate.alias("_rate")).withColumn("_cdf", poisson_cdf(F.col("_rate"))).withColumn("_first", _first(F.col("_rate"))).drop("_rate")
     if total["c"] <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    joined = docs.select(*cols).join(rates, F.col(source_column).eqNullSafe(F.col("_s"))).drop("_s")
-    u = _uniform(f"={seed}", id_column)
+    # rows of one id may be many: their places in the input spread them over the shuffle
+    named = docs.select(F.struct(*cols).alias("_row"), F.col(source_column).alias("_source"), F.col(id_column).cast("string").alias("_id"), F.monotonically_increasing_id().alias("_at"))
+    joined = named.join(rates, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s", "_source")
+    u = _uniform(seed, F.coalesce("_id", F.concat(F.lit("null|"), F.col("_at").cast("string"))))
     n = F.when(u > 0, F.col("_first") + F.size(F.filter("_cdf", lambda p: p < u))).otherwise(F.lit(0))
-    copies = joined.withColumn("_n", n).drop("_cdf", "_first").where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
-    place = F.xxhash64(F.lit(seed), F.col(id_column), F.col("copy"))
-    return copies.repartition(partitions(spark), place).sortWithinPartitions(place)
+    drawn = joined.select("_row", "_id", "_at", n.alias("_n")).where("_n > 0")
+    copies = drawn.select("_row", F.xxhash64(F.lit(seed), "_id", "_at").alias("_key"), F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
+    place = F.xxhash64(F.lit(seed), "_key", "copy")
+    shuffled = copies.repartition(partitions(spark), place).sortWithinPartitions(place)
+    return shuffled.select(*(F.col("_row").getField(c).alias(c) for c in cols), "copy")
 
 
 def _first(rate):

@@ -71,3 +71,17 @@ def test_mix_to_large_rates(spark):
     for budget, rate in ((5.0, 1000), (50.0, 10000)):
         n = [r["count"] for r in mixing.mix(docs, weights={"a": 1.0}, budget=budget).groupBy("doc_id").count().collect()]
         assert len(n) == 20 and len(set(n)) > 10 and all(abs(x - rate) < 5 * rate**0.5 for x in n)
+
+
+def test_mix_rows_without_id_and_clashing_names(spark):
+    rows = [(None, "a", i) for i in range(3000)] + [(7, "a", 0)] * 500 + [(i, "b", i) for i in range(100, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, _n long").selectExpr("*", "'s' as _s", "1 as _row", "2 as _cdf", "3 as _id", "4 as place")
+    out = mixing.mix(docs, weights={"a": 1.0}, budget=1.0)
+    assert out.columns == [*docs.columns, "copy"]
+    got = out.cache()
+    assert abs(got.where("doc_id is null").count() - 3000 * 3600 / 3500) < 250  # each draws on its own
+    assert got.where("doc_id is null").select("_n").distinct().count() > 1500
+    assert len({r["count"] for r in got.where("doc_id = 7").groupBy("_row").count().collect()}) <= 1
+    assert got.where("_s <> 's' or _row <> 1 or _cdf <> 2 or _id <> 3 or place <> 4").count() == 0
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 0.6 * sum(sizes)
