@@ -74,7 +74,7 @@ class ChunkEncoder:
         literals = [t for t in spec.get("added_tokens") or [] if added]
         if normal is not None and any(t.get("normalized") for t in literals):
             self.kind = "plain"  # the literal may arise from normalizing alone
-        self.literal = re.compile("|".join(re.escape(t["content"]) for t in literals)).search if literals else None
+        self.literals = [t["content"] for t in literals]
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.code = {2: "H", 4: "I"}[self.width]
         self.limit, self.table, self.model = limit, _byte_table(), self.tokenizer.model
@@ -120,8 +120,8 @@ class ChunkEncoder:
         for cache in (self.cache, self.pieces):
             if len(cache) > self.limit:
                 cache.turn()
-        get, literal = self.cache.__getitem__, self.literal
-        return [self._direct([t])[0] if literal and literal(t) else b"".join(map(get, self._chunks(t))) for t in texts]
+        get, literals = self.cache.__getitem__, self.literals
+        return [self._direct([t])[0] if any(x in t for x in literals) else b"".join(map(get, self._chunks(t))) for t in texts]
 
 
 _ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
