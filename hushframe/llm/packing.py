@@ -10,6 +10,7 @@ One document in ``sand_every`` has the rest of its tokens cut into powers of two
 from __future__ import annotations
 
 import heapq
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -98,16 +99,22 @@ def plan(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, tup
 
 
 def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
-    """Rows (length, first rank, first sequence, offset), sorted: where pieces of a length go, by rank."""
+    """Rows (length, first rank, first sequence, offset, count), sorted: where pieces of a length go, by rank.
+
+    A row stands for all places of one length in a pattern: rank by rank through its ``count`` sequences, then again at the
+    next offset. A pattern has at most as many rows as different lengths fit in a sequence (63 for 2048), and there are
+    at most three patterns a length, so the table is bounded whatever the number of documents.
+    """
     out, taken, sequence = [], {}, 0
     for count, lengths in patterns:
         offset = 0
-        for k in lengths:
+        for k, same in itertools.groupby(lengths):
+            n = sum(1 for _ in same)
             rank = taken.get(k, 0)
-            out.append((k, rank, sequence, offset))
-            taken[k], offset = rank + count, offset + k
+            out.append((k, rank, sequence, offset, count))
+            taken[k], offset = rank + n * count, offset + n * k
         sequence += count
-    return np.array(sorted(out), dtype=np.int64).reshape(-1, 4)
+    return np.array(sorted(out), dtype=np.int64).reshape(-1, 5)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, size: int = SEQUENCE, sand_every: int = SAND_EVERY, added: bool = False) -> DataFrame:
@@ -137,7 +144,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, size: int
                 lo, hi = np.searchsorted(t[:, 0], [k, k + 1])
                 own = length == k
                 at[own] = lo + np.searchsorted(t[lo:hi, 1], rank[own], side="right") - 1
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(t[at, 2] + rank - t[at, 1]), pa.array(t[at, 3])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            turn, nth = np.divmod(rank - t[at, 1], t[at, 4])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(t[at, 2] + nth), pa.array(t[at, 3] + turn * length)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("rank").cast("long").alias("rank")).mapInArrow(place, out)

@@ -21,8 +21,18 @@ def test_plan_places_every_length_once(histogram):
         for k in lengths:
             placed[k] += count
     assert placed == histogram and len(patterns) <= 3 * len(histogram)
-    seen = {(k, r + i) for k, r, *_ in packing.slots(patterns).tolist() for i in [0]}
-    assert len(seen) == sum(len(p) for _, p in patterns)
+    # every rank of every length has a place of its own; together they fill sequences from 0 without gaps
+    table, sequences = packing.slots(patterns), defaultdict(list)
+    for k, n in histogram.items():
+        rows = table[table[:, 0] == k]
+        for rank in range(n):
+            _, first, sequence, offset, count = rows[np.searchsorted(rows[:, 1], rank, side="right") - 1].tolist()
+            turn, nth = divmod(rank - first, count)
+            sequences[sequence + nth].append((offset + turn * k, k))
+    for places in sequences.values():
+        ends = np.cumsum([k for _, k in sorted(places)])
+        assert [o for o, _ in sorted(places)] == [0, *ends[:-1]] and ends[-1] <= 64
+    assert len(sequences) == sum(c for c, _ in patterns)
 
 
 @given(st.integers(0, 5000), st.booleans())
