@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, save
+from .shingles import text_slices
 from .tokenization import encoder
 
 SEQUENCE = 2048
@@ -43,11 +44,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, size: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, row, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path, limit=120_000, added=added)
+        part, row, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path, limit=400_000, added=added)
         end = np.array([end_id] if end_id is not None else [], dtype=f"<u{enc.width}").tobytes()
         for b in batches:
-            for s in range(0, b.num_rows, 512):
-                x, out = b.slice(s, 512), []
+            for x in text_slices(b, 1, 4096, 1 << 24):
+                out = []
                 for d, ids in zip(x.column(0).to_pylist(), enc.encode(x.column(1).to_pylist()), strict=True):
                     raw = np.frombuffer(ids + end, dtype=f"<u{enc.width}").astype("<u4").tobytes()
                     n, at = len(raw) // 4, 0

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop, new_path, partitions, release, save
+from .shingles import text_slices
 from .tokenization import encoder
 
 #: For each control byte: the data bytes of its four ids, their offsets, and the sum.
@@ -72,8 +73,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_column
         seen = np.zeros(0, dtype="<i8")
         end = np.array([end_id] if end_id is not None else [], dtype=f"<u{enc.width}").tobytes()
         for b in batches:
-            for s in range(0, b.num_rows, 512):
-                x = b.slice(s, 512)
+            for x in text_slices(b, 1, 4096, 1 << 24):
                 ids = [i + end for i in enc.encode(x.column(1).to_pylist())]
                 count = np.bincount(np.frombuffer(b"".join(ids), dtype=f"<u{enc.width}"), minlength=len(seen))
                 count[: len(seen)] += seen

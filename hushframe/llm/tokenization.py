@@ -1,4 +1,4 @@
-"""Whole-text encoding with the tokenizers library and a bounded cache over chunks of text."""
+"""Whole-text encoding with the tokenizers library: distinct chunks of a batch are encoded once, pieces of them cached."""
 
 from __future__ import annotations
 
@@ -7,10 +7,15 @@ import os
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _PAIR = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<!\s)(?= \S|\n\S)")
+_SIMPLE = re.compile(r"(?=[ \n])")
 #: Chunks of these characters alone are cut into pieces here; the library cuts all others.
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e"
 _MARK = r"!-/:-@\[-`{-~"
@@ -30,7 +35,7 @@ def _byte_table() -> dict[int, str]:
 
 
 class _Cache(dict):
-    """The ids of chunks; what is missing here and in the generation before is encoded."""
+    """The ids of pieces; what is missing here and in the generation before is encoded."""
 
     def __init__(self, encode):
         super().__init__()
@@ -40,6 +45,13 @@ class _Cache(dict):
         self[key] = found = self._before.get(key) or self._encode(key)
         return found
 
+    def older(self, key):
+        """The ids of a piece of the generation before, or None; it is taken over."""
+        found = self._before.get(key)
+        if found is not None:
+            self[key] = found
+        return found
+
     def turn(self) -> None:
         """Starts a new generation, which takes over what it uses."""
         self._before = dict(self)
@@ -52,12 +64,13 @@ class ChunkEncoder:
     The library encodes each distinct chunk once; a text's ids are those of its chunks in order. Texts are cut only where
     the tokenizer's own pre-tokenizer always ends a piece, so the ids equal those of the whole text: for a byte-level
     tokenizer before a single space or line break between two characters that are no white space; for one that drops
-    white space, at any space or line break. A tokenizer of another kind encodes whole texts. The cache holds
-    two generations of about ``limit`` chunks. With ``added``, literals of the tokenizer's added tokens become those
+    white space, at any space or line break. A tokenizer of another kind encodes whole texts. Arrow cuts the texts of a
+    batch and finds its distinct chunks; numpy puts their ids in the texts' order. The cache holds two generations of about
+    ``limit`` pieces of chunks. With ``added``, literals of the tokenizer's added tokens become those
     tokens, as is the library's default; a text that holds one is encoded whole. Without, they are plain text.
     """
 
-    def __init__(self, path: str, limit: int = 450_000, added: bool = False):
+    def __init__(self, path: str, limit: int = 700_000, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -78,7 +91,8 @@ class ChunkEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.code = {2: "H", 4: "I"}[self.width]
         self.limit, self.table, self.model = limit, _byte_table(), self.tokenizer.model
-        self.cache, self.pieces = _Cache(self._chunk), _Cache(self._piece)
+        self.pieces = _Cache(self._piece)
+        self.marks = {m: self._direct([m])[0] for m in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"} if self.kind != "plain" else {}
 
     def _piece(self, piece: str) -> bytes:
         if piece.isalpha() and piece.isascii():
@@ -89,14 +103,20 @@ class ChunkEncoder:
             shown = piece.encode().decode("latin-1").translate(self.table)
         return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks. Most are a cached piece, or one of letters and a mark after it."""
+        get, older, marks, lower, out = self.pieces.get, self.pieces.older, self.marks, self.kind == "word", []
+        for c in chunks:
+            if lower and c.isascii():
+                c = c.lower()
+            found = get(c) or older(c)
+            if found is None and c[-2:-1].isalpha() and c[-1] in marks:
+                head = get(c[:-1]) or older(c[:-1])
+                found = head and head + marks[c[-1]]
+            out.append(self._chunk(c) if found is None else found)
+        return out
+
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk:  # most often a word, or a word and a mark
-            c = chunk.lower() if self.kind == "word" else chunk
-            word = c[1:] if c[0] == " " else c
-            if word.isalpha():
-                return self.pieces[c]
-            if word[-1:] in ".," and word[:-1].isalpha():
-                return self.pieces[c[:-1]] + self.pieces[c[-1]]
         if not _PLAIN(chunk):
             return self._direct([chunk])[0]
         found = _PIECES[self.kind](chunk.lower() if self.kind == "word" else chunk)
@@ -105,29 +125,50 @@ class ChunkEncoder:
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _chunks(self, text: str) -> list[str]:
+    def _cut(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The chunks of all texts in order, and how many the first i texts have."""
+        x = pa.array(texts, pa.large_string())
         if self.kind == "word":
-            return text.replace("\n", " ").split(" ")
-        if "\0" in text or _PAIR.search(text):
-            return _CUT.split(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+            x = pc.split_pattern(pc.replace_substring(x, "\n", " "), " ")
+        else:
+            odd = ["\0" in t or _PAIR.search(t) is not None for t in texts]
+            if any(odd):
+                x = pa.array([_CUT.split(t) if o else _SIMPLE.split(t) for t, o in zip(texts, odd, strict=True)], pa.large_list(pa.large_string()))
+            else:
+                x = pc.split_pattern(pc.replace_substring(pc.replace_substring(x, " ", "\0 "), "\n", "\0\n"), "\0")
+        return x.flatten(), np.append(0, np.cumsum(pc.list_value_length(x).to_numpy(zero_copy_only=False)))
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        chunks, at = self._cut(texts)
+        coded = chunks.dictionary_encode()
+        known = self._known(coded.dictionary.to_pylist())
+        ids, sizes = np.frombuffer(b"".join(known), dtype=f"<u{self.width}"), np.fromiter(map(len, known), np.int64, len(known)) // self.width
+        index = coded.indices.to_numpy()
+        n = sizes[index]
+        ends = np.append(0, np.cumsum(n))
+        # each chunk's ids start at first[index]; the place in the output less that of the chunk's start is added
+        out = ids[np.repeat((np.cumsum(sizes) - sizes)[index] - ends[:-1], n) + np.arange(ends[-1])]
+        cuts = ends[at].tolist()
+        return [out[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
         texts = [t or "" for t in texts]
         if self.kind == "plain":
             return self._direct(texts)
-        for cache in (self.cache, self.pieces):
-            if len(cache) > self.limit:
-                cache.turn()
-        get, literals = self.cache.__getitem__, self.literals
-        return [self._direct([t])[0] if any(x in t for x in literals) else b"".join(map(get, self._chunks(t))) for t in texts]
+        if len(self.pieces) > self.limit:
+            self.pieces.turn()
+        whole = {i: self._direct([t])[0] for i, t in enumerate(texts) if any(x in t for x in self.literals)}
+        if not whole:
+            return self._batch(texts)
+        rest = iter(self._batch([t for i, t in enumerate(texts) if i not in whole]))
+        return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
 
 
 _ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def encoder(path: str, limit: int = 450_000, added: bool = False) -> ChunkEncoder:
+def encoder(path: str, limit: int = 700_000, added: bool = False) -> ChunkEncoder:
     """One encoder per Python worker, path and ``added``; ``limit`` bounds its cache."""
     if (path, added) not in _ENCODERS:
         _ENCODERS[path, added] = ChunkEncoder(path, limit, added)
