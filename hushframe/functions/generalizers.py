@@ -34,11 +34,19 @@ class Generalizer(Protocol):
     def add(self, summary: Any, value: Any) -> Any: ...
     def merge(self, a: Any, b: Any) -> Any: ...
     def losses(self, summaries: Sequence[Any], state: Any) -> np.ndarray: ...
+    def grown(self, summaries: Sequence[Any], values: Sequence[Any], state: Any) -> np.ndarray: ...
     def value(self, summary: Any) -> Any: ...
     def max_value(self, state: Any) -> Any: ...
     def state(self) -> Any: ...
 
 
+class _OneByOne:
+    """Adds values to summaries one at a time."""
+
+    def grown(self, summaries, values, state):
+        return self.losses([self.add(s, v) for s, v in zip(summaries, values, strict=True)], state)
+
+
 class NoneGeneralizer:
     """Passes values through; takes no part in information loss."""
 
@@ -54,7 +62,7 @@ class NoneGeneralizer:
         return None
 
 
-class Aggregation:
+class Aggregation(_OneByOne):
     """Numbers to their range (lo, hi); loss is the range's width over the domain's.
 
     ``kind`` is "int", "float" or "double". A second or later value of a group outside the domain widens it for the
@@ -113,10 +121,18 @@ class Aggregation:
         return True
 
     def losses(self, summaries, state):
-        width = np.array([0.0 if s is None else s[1] - s[0] for s in summaries], dtype=np.float32)
+        return self._shares(np.array([0.0 if s is None else s[1] - s[0] for s in summaries], dtype=np.float32), state)
+
+    def _shares(self, width, state):
         domain = f32(state[1] - state[0])
-        share = width / domain if domain > 0 else np.ones_like(width)
-        return np.where(width == 0, f32(0), np.minimum(share, f32(1))).astype(np.float32)
+        return np.minimum(width / domain, f32(1)) if domain > 0 else (width != 0).astype(np.float32)
+
+    def grown(self, summaries, values, state):
+        if None in summaries or None in values:
+            return super().grown(summaries, values, state)
+        at = np.array(summaries, dtype=np.float64)
+        v = np.array(values, dtype=np.float64)
+        return self._shares((np.maximum(at[:, 1], v) - np.minimum(at[:, 0], v)).astype(np.float32), state)
 
     def value(self, summary):
         return summary
@@ -128,7 +144,7 @@ class Aggregation:
         return value is None or (rendered is not None and rendered[0] <= value <= rendered[1])
 
 
-class Reduction:
+class Reduction(_OneByOne):
     """Strings to their common beginning, the rest masked; strings of different lengths are masked whole.
 
     Loss is the masked share. Other values count as their text.
@@ -207,7 +223,7 @@ class Reduction:
         return value.startswith(head) and len(value) <= len(rendered)
 
 
-class Categories:
+class Categories(_OneByOne):
     """Categories to their lowest common ancestor in a hierarchy.
 
     A value is a label, or an array that is its path from below the root. Unknown labels are children of the root. Loss

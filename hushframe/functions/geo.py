@@ -79,7 +79,7 @@ def cells_between(lon1: float, lat1: float, lon2: float, lat2: float) -> list[in
             y += step
         out.append(x + y * GRID_X)
         if len(out) > 4 * (abs(to_x - x0) + abs(to_y - y0) + 2):
-            break
+            raise ValueError(f"the way from {lon1}, {lat1} to {lon2}, {lat2} misses its end")
     return out
 
 

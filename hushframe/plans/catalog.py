@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from ..functions import geo, groups
 from ..functions.generalizers import Aggregation, Categories, NoneGeneralizer, Reduction
 from ..functions.hierarchy import Hierarchy
-from ..operators.batch import anonymize, compare_baseline
+from ..operators.batch import anonymize, compare_baseline, shard_metrics
+from ..operators.kernel import COUNTERS
 from ..rules import SUPPRESS_MAX, AnonymizerConfig, Rule, RuleSet
 from ..sources import taxi
 from ..sources.text import format_delimited, parse_delimited
@@ -374,7 +375,7 @@ def _event_rules(columns, second: bool = False) -> RuleSet:
 
 
 def _config(**options) -> AnonymizerConfig:
-    return AnonymizerConfig(**({"subject": "user_id", "order": ("ts", "event_id"), "suppress": SUPPRESS_MAX, "show_info_loss": True, "flush": "release", "shards": 4} | options))
+    return AnonymizerConfig(**({"subject": "user_id", "order": ("ts", "event_id"), "suppress": SUPPRESS_MAX, "show_info_loss": True, "flush": "release", "shards": 8} | options))
 
 
 @_query("cluster_events")
@@ -383,6 +384,45 @@ def cluster_events(spark, sf_dir):
     return _flat(_flat(anonymize(rows, _event_rules(rows.columns), _config()), "value"), "hour")
 
 
+@_query("cluster_k_only")
+def cluster_k_only(spark, sf_dir):
+    rows = _events(spark, sf_dir)
+    return _flat(_flat(anonymize(rows, _event_rules(rows.columns), _config(l=0)), "value"), "hour")
+
+
+#: One open cluster that takes every row until the first is due: groups are runs of 201 rows, none large enough to split.
+_WINDOWS = {"subject": "event_id", "k": 101, "beta": 1, "shards": 1, "flush": "none"}
+_NUMBERED = "(SELECT event_id, ts, user_id, value, hour(ts) AS hour, event_type, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n FROM events)"
+_WINDOWED = f"(SELECT *, i // 201 AS w FROM {_NUMBERED} x WHERE i // 201 < n // 201)"
+
+
+@_query("cluster_windows", f"""
+SELECT event_id, ts, user_id, event_type, 'cluster' AS _status, (least(CAST(vhi - vlo AS FLOAT) / CAST(600 AS FLOAT), CAST(1 AS FLOAT)) + least(CAST(hhi - hlo AS FLOAT) / CAST(23 AS FLOAT), CAST(1 AS FLOAT))) / CAST(2 AS FLOAT) AS info_loss, vlo AS value_lo, vhi AS value_hi, CAST(hlo AS BIGINT) AS hour_lo, CAST(hhi AS BIGINT) AS hour_hi
+FROM (SELECT *, min(value) OVER (PARTITION BY w) AS vlo, max(value) OVER (PARTITION BY w) AS vhi, min(hour) OVER (PARTITION BY w) AS hlo, max(hour) OVER (PARTITION BY w) AS hhi FROM {_WINDOWED} y) z""")
+def cluster_windows(spark, sf_dir):
+    rows = _events(spark, sf_dir)
+    return _flat(_flat(anonymize(rows, _event_rules(rows.columns), _config(**_WINDOWS)), "value"), "hour")
+
+
+@_query("cluster_suppressed", f"SELECT event_id, ts, user_id, event_type, 'suppressed' AS _status, CAST(1 AS FLOAT) AS info_loss, CAST(0 AS DOUBLE) AS value_lo, CAST(600 AS DOUBLE) AS value_hi, CAST(0 AS BIGINT) AS hour_lo, CAST(23 AS BIGINT) AS hour_hi FROM {_NUMBERED} x WHERE i < n - 200")
+def cluster_suppressed(spark, sf_dir):
+    rows = _events(spark, sf_dir)
+    return _flat(_flat(anonymize(rows, _event_rules(rows.columns), _config(subject="event_id", k=202, shards=1, flush="none")), "value"), "hour")
+
+
+@_query("cluster_single_rows", "SELECT event_id, ts, user_id, event_type, 'cluster' AS _status, CAST(0 AS FLOAT) AS info_loss, value AS value_lo, value AS value_hi, hour(ts) AS hour_lo, hour(ts) AS hour_hi FROM events")
+def cluster_single_rows(spark, sf_dir):
+    rows = _events(spark, sf_dir)
+    return _flat(_flat(anonymize(rows, _event_rules(rows.columns), _config(k=1, l=0, delta=0)), "value"), "hour")
+
+
+@_query("cluster_metrics", f"SELECT 101 AS k, 2 AS l, 1 AS sensitive_columns, max(n) % 201 AS held_rows, 1 AS rule_sets, 0 AS suppressed_rows, 0 AS merged_clusters, max(n) // 201 AS collected_clusters, 0 AS reused_clusters, CAST(ceil(max(n) / 201) AS BIGINT) AS created_clusters, 0 AS split_clusters FROM {_NUMBERED} x")
+def cluster_metrics(spark, sf_dir):
+    rows = _events(spark, sf_dir)
+    found = shard_metrics(rows, _event_rules(rows.columns), _config(**_WINDOWS))
+    return found.select("k", "l", "sensitive_columns", "held_rows", "rule_sets", *COUNTERS)
+
+
 @_query("cluster_several_sensitive")
 def cluster_several_sensitive(spark, sf_dir):
     rows = _events(spark, sf_dir)
@@ -403,23 +443,46 @@ def invariants(found: DataFrame, source: DataFrame, k: int, l: int) -> DataFrame
 @_query("cluster_invariants", "SELECT count(*) AS rows_in, count(*) AS rows_out, count(*) AS ids_out, CAST(0 AS BIGINT) AS k_violations, CAST(0 AS BIGINT) AS l_violations, CAST(0 AS BIGINT) AS uncovered FROM events")
 def cluster_invariants(spark, sf_dir):
     rows = _events(spark, sf_dir)
-    return invariants(anonymize(rows, _event_rules(rows.columns), _config()), rows, 5, 2)
+    return invariants(_saved(anonymize(rows, _event_rules(rows.columns), _config())), rows, 5, 2)
+
+
+@_query("cluster_k_only_invariants", "SELECT count(*) AS rows_in, count(*) AS rows_out, count(*) AS ids_out, CAST(0 AS BIGINT) AS k_violations, CAST(0 AS BIGINT) AS l_violations, CAST(0 AS BIGINT) AS uncovered FROM events")
+def cluster_k_only_invariants(spark, sf_dir):
+    rows = _events(spark, sf_dir)
+    return invariants(_saved(anonymize(rows, _event_rules(rows.columns), _config(l=0))), rows, 5, 0)
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one that the session names, or a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="hushframe-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder below the shared one that the session names; a temporary one only where all runs on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="hushframe-")
+    return f"{shared.rstrip('/')}/hushframe-{uuid.uuid4().hex}"
+
+
+def _saved(df: DataFrame) -> DataFrame:
+    """Written once and read again, so that several uses don't repeat the clustering."""
+    df.write.parquet(path := _scratch(df.sparkSession))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @_query("stream_equals_batch", "SELECT CAST(0 AS BIGINT) AS only_stream, CAST(0 AS BIGINT) AS only_batch")
 def stream_equals_batch(spark, sf_dir):
     rows, at = _events(spark, sf_dir), _scratch(spark)
-    rows.coalesce(1).write.parquet(f"{at}/in")
     config = _config(flush="none", shards=2)
-    stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
-    out = with_counters(anonymize_stream(stream, _event_rules(rows.columns), config))
-    out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields])
+    # four files by time, one for each micro-batch; the query stops after two and starts again from its checkpoint
+    at_ts = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = [None, *rows.agg(F.percentile_approx(at_ts, [0.25, 0.5, 0.75])).first()[0], None]
+    for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        part = rows.where((F.lit(True) if lo is None else at_ts > lo) & (F.lit(True) if hi is None else at_ts <= hi))
+        part.coalesce(1).write.mode("append").parquet(f"{at}/in")
+        if i % 2:
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+            out = with_counters(anonymize_stream(stream, _event_rules(rows.columns), config))
+            out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     a, b = spark.read.schema(out.schema).parquet(f"{at}/out"), anonymize(rows, _event_rules(rows.columns), config)
     flat = lambda d, tag: _flat(_flat(d, "value"), "hour").withColumn("side", F.lit(tag))
     both = flat(a, 1).unionByName(flat(b, -1))

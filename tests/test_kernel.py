@@ -114,7 +114,7 @@ def test_released_groups_hold_k_and_l_and_cover():
             assert x.row.id in before | {i}
             if x.status in ("cluster", "split", "merged"):
                 groups.setdefault(str(x.values), []).append(x.row)
-            if x.values is not None:
+            if x.status != "suppressed":
                 assert all(g.generalizer.covers(v, w) for g, v, w in zip(rules.quasi_identifiers, x.values, x.row.values, strict=True))
             assert 0 <= x.loss <= 1
         for rows in groups.values():
@@ -184,3 +184,15 @@ def test_range_values():
     state = g.state()
     assert g.widen((-100, 1000), state) and state == [-100, 1000]
     assert losses(Aggregation(1, 1), 1, 2)[1] == 1
+
+
+def test_suppressed_rows_after_a_change_of_rules():
+    first = [Rule("subject", NoneGeneralizer()), Rule("q1", agg(0, 10)), Rule("q2", agg(0, 20)), Rule("s", NoneGeneralizer())]
+    later = [Rule("subject", NoneGeneralizer()), Rule("q1", NoneGeneralizer()), Rule("q2", agg(0, 99)), Rule("s", agg(0, 7))]
+    shard = Shard(AnonymizerConfig("subject", k=9, l=0, delta=3, beta=50, zeta=10, mu=10), RuleSet.of(COLS, *first), list(COLS))
+    out = [x for i in range(3) for x in shard.take((i, 1, 2, 3))]
+    shard.set_rules(RuleSet.of(COLS, *later))
+    out += [x for i in range(3, 9) for x in shard.take((i, 1, 2, 3))]
+    assert [(x[-1], x[1], x[2], x[3]) for x in out[:3]] == [("suppressed", {"lo": 0, "hi": 10}, {"lo": 0, "hi": 20}, 3)] * 3
+    assert [(x[-1], x[1], x[2], x[3]) for x in out[3:]] == [("suppressed", 1, {"lo": 0, "hi": 99}, {"lo": 0, "hi": 7})] * (len(out) - 3) and len(out) > 3
+    assert shard.kernel.metrics()["suppressed_rows"] == len(out) and shard.kernel.metrics()["rule_sets"] == 2
