@@ -26,6 +26,8 @@ from .shingles import class_key, shingle_sets, text_slices
 THRESHOLD = 75
 #: Vertical fragments of the overlap count.
 FRAGMENTS = 4
+#: Fragments of the n-gram order for each shuffle partition; a task holds one at a time, and several even out.
+PIECES = 4
 #: Smallest hashes by which sets first find one to link to.
 SIGNATURES = 3
 #: Comparisons of sketches for each entry of the index up to which all that is left is compared at once.
@@ -144,8 +146,8 @@ def _shared(cells: DataFrame, buckets: int) -> DataFrame:
 
 def shared_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, n, m, ids): each class that may have a link, with its m shared n-grams in global order."""
-    n = min(partitions(docs.sparkSession), 1 << 16)
-    found = _shared(_fragments(docs, n), n)
+    n = partitions(docs.sparkSession)
+    found = _shared(_fragments(docs, min(PIECES * n, 1 << 16)), n)
     classes = keys.where("n > 0").groupBy("key").agg(F.first("n").alias("n")).withColumn("bucket", F.pmod("key", F.lit(n)))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -224,28 +226,32 @@ def link_classes(sets: DataFrame, max_rounds: int = 2) -> DataFrame:
     spark = sets.sparkSession
     # each set to the first of those that have one of its smallest hashes too
     signed = _signatures(sets)
-    first = signed.groupBy("sig").agg(F.min(F.struct(*_SET)).alias("r"), F.count("*").alias("c")).where("c > 1").select("sig", *_renamed(_SET, "1", "r."))
+    # tables of their own, so that Spark can split what many sets share when these meet them again
+    first = save(signed.groupBy("sig").agg(F.min(F.struct(*_SET)).alias("r"), F.count("*").alias("c")).where("c > 1").select("sig", *_renamed(_SET, "1", "r.")), "first")
     meets = signed.join(first, "sig").where((F.col("key") != F.col("key1")) & _may_link("", "1"))
     labels = save(components(verify(meets.select(*_pair("key", "key1")).distinct(), sets)), "labels")
+    drop(first)
     for turn in range(max_rounds):
         entries = _entries(sets, labels)
-        mixed = entries.groupBy("id").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("id")
+        mixed = save(entries.groupBy("id").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("id"), "mixed")
         named = save(entries.join(mixed, "id").join(sets.select(*_SET), "key"), "open")
+        drop(mixed)
         per = named.groupBy("id", "component").agg(F.count("*").alias("c"))
         main = save(per.groupBy("id").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.max(F.struct("c", "component")).alias("most")).select("id", "s", "q", F.col("most.component").alias("main")), "main")
         rows, todo = main.agg(F.sum("s"), F.sum(F.col("s") * F.col("s") - F.col("q"))).first()
         if not rows:
+            drop(named, main)
             return labels
         if todo <= COMPARED * rows or turn == max_rounds - 1:
             break
         # at each n-gram, the sets outside its main component against a few sets of that
         placed = named.join(main.select("id", "main"), "id")
         drawn = [F.min(F.struct(F.xxhash64("key", "id", F.lit(turn * DRAWS + i)).alias("o"), *_SET)) for i in range(DRAWS)]
-        few = placed.where("component = main").groupBy("id").agg(F.array(*drawn).alias("r")).select("id", F.explode("r").alias("r")).select("id", *_renamed(_SET, "1", "r."))
+        few = save(placed.where("component = main").groupBy("id").agg(F.array(*drawn).alias("r")).select("id", F.explode("r").alias("r")).select("id", *_renamed(_SET, "1", "r.")), "few")
         found = placed.where("component <> main").join(few, "id").where(_may_link("", "1")).groupBy("key").agg(F.min("key1").alias("lo"), F.max("key1").alias("hi"))
         pairs = found.select("key", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("key1")).select(*_pair("key", "key1")).distinct()
         labels = _merged(labels, verify(pairs, sets))
-        drop(named, main)
+        drop(named, main, few)
         release(spark)
     # all other pairs of different components that share a prefix n-gram and can still reach the overlap
     side = [*_SET, "at", "component"]
