@@ -44,10 +44,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, size: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, row, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path, limit=450_000, added=added)
+        part, row, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path, added=added)
         end = np.array([end_id] if end_id is not None else [], dtype=f"<u{enc.width}").tobytes()
         for b in batches:
-            for x in text_slices(b, 1, 4096, 1 << 24):
+            for x in text_slices(b, 1, 4096, 1 << 23):
                 out = []
                 for d, ids in zip(x.column(0).to_pylist(), enc.encode(x.column(1).to_pylist()), strict=True):
                     raw = np.frombuffer(ids + end, dtype=f"<u{enc.width}").astype("<u4").tobytes()

@@ -71,17 +71,19 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_column
 
         part, row, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path, added=added)
         seen = np.zeros(0, dtype="<i8")
-        end = np.array([end_id] if end_id is not None else [], dtype=f"<u{enc.width}").tobytes()
+        width, end = bytes([enc.width]), np.array([end_id] if end_id is not None else [], dtype=f"<u{enc.width}").tobytes()
         for b in batches:
-            for x in text_slices(b, 1, 4096, 1 << 24):
-                ids = [i + end for i in enc.encode(x.column(1).to_pylist())]
-                count = np.bincount(np.frombuffer(b"".join(ids), dtype=f"<u{enc.width}"), minlength=len(seen))
+            for x in text_slices(b, 1, 4096, 1 << 23):
+                flat, at = enc.encode_flat(x.column(1).to_pylist())
+                count = np.bincount(flat, minlength=len(seen))
                 count[: len(seen)] += seen
-                seen = count.astype("<i8")
-                width = bytes([enc.width])
-                ids = [width + i for i in ids]
+                seen, cuts = count.astype("<i8"), at.tolist()
+                ids = [b"".join((width, flat[s:e].tobytes(), end)) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([x.column(0), pa.array([part] * len(ids), pa.int32()), pa.array(range(row, row + len(ids)), pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "part", "row", "ids"])
                 row += len(ids)
+        if end_id is not None and row:
+            seen = np.pad(seen, (0, max(0, end_id + 1 - len(seen))))
+            seen[end_id] += row
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([part], pa.int32()), pa.array([-1], pa.int64()), pa.array([seen.tobytes()], pa.binary())], names=["doc_id", "part", "row", "ids"])
 
     return ordered.mapInArrow(run, _staged_schema())

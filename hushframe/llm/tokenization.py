@@ -70,7 +70,7 @@ class ChunkEncoder:
     tokens, as is the library's default; a text that holds one is encoded whole. Without, they are plain text.
     """
 
-    def __init__(self, path: str, limit: int = 700_000, added: bool = False):
+    def __init__(self, path: str, limit: int = 400_000, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -105,15 +105,17 @@ class ChunkEncoder:
 
     def _known(self, chunks: list[str]) -> list[bytes]:
         """The ids of chunks. Most are a cached piece, or one of letters and a mark after it."""
-        get, older, marks, lower, out = self.pieces.get, self.pieces.older, self.marks, self.kind == "word", []
+        get, older, mark_of, lower, out = self.pieces.get, self.pieces.older, self.marks.get, self.kind == "word", []
         for c in chunks:
             if lower and c.isascii():
                 c = c.lower()
-            found = get(c) or older(c)
-            if found is None and c[-2:-1].isalpha() and c[-1] in marks:
-                head = get(c[:-1]) or older(c[:-1])
-                found = head and head + marks[c[-1]]
-            out.append(self._chunk(c) if found is None else found)
+            mark = mark_of(c[-1:])
+            if mark is not None and c[-2:-1].isalpha():
+                found = get(c[:-1]) or older(c[:-1])
+                found = found and found + mark
+            else:
+                found = get(c) or older(c)
+            out.append(found or self._chunk(c))
         return out
 
     def _chunk(self, chunk: str) -> bytes:
@@ -138,7 +140,8 @@ class ChunkEncoder:
                 x = pc.split_pattern(pc.replace_substring(pc.replace_substring(x, " ", "\0 "), "\n", "\0\n"), "\0")
         return x.flatten(), np.append(0, np.cumsum(pc.list_value_length(x).to_numpy(zero_copy_only=False)))
 
-    def _batch(self, texts: list[str]) -> list[bytes]:
+    def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, and where those of each text start (and the end)."""
         chunks, at = self._cut(texts)
         coded = chunks.dictionary_encode()
         known = self._known(coded.dictionary.to_pylist())
@@ -148,27 +151,36 @@ class ChunkEncoder:
         ends = np.append(0, np.cumsum(n))
         # each chunk's ids start at first[index]; the place in the output less that of the chunk's start is added
         out = ids[np.repeat((np.cumsum(sizes) - sizes)[index] - ends[:-1], n) + np.arange(ends[-1])]
-        cuts = ends[at].tolist()
-        return [out[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out, ends[at]
+
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, and where those of each text start (and the end); null counts as empty."""
+        texts = [t or "" for t in texts]
+        if self.kind != "plain":
+            if len(self.pieces) > self.limit:
+                self.pieces.turn()
+            whole = [i for i, t in enumerate(texts) if any(x in t for x in self.literals)]
+            if not whole:
+                return self._batch(texts)
+            flat, at = self._batch([t if i not in set(whole) else "" for i, t in enumerate(texts)])
+            each = [flat[s:e].tobytes() for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            for i, ids in zip(whole, self._direct([texts[i] for i in whole]), strict=True):
+                each[i] = ids
+        else:
+            each = self._direct(texts)
+        at = np.append(0, np.cumsum([len(x) // self.width for x in each], dtype=np.int64))
+        return np.frombuffer(b"".join(each), dtype=f"<u{self.width}"), at
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
-        texts = [t or "" for t in texts]
-        if self.kind == "plain":
-            return self._direct(texts)
-        if len(self.pieces) > self.limit:
-            self.pieces.turn()
-        whole = {i: self._direct([t])[0] for i, t in enumerate(texts) if any(x in t for x in self.literals)}
-        if not whole:
-            return self._batch(texts)
-        rest = iter(self._batch([t for i, t in enumerate(texts) if i not in whole]))
-        return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
+        flat, at = self.encode_flat(texts)
+        return [flat[s:e].tobytes() for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 _ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def encoder(path: str, limit: int = 700_000, added: bool = False) -> ChunkEncoder:
+def encoder(path: str, limit: int = 400_000, added: bool = False) -> ChunkEncoder:
     """One encoder per Python worker, path and ``added``; ``limit`` bounds its cache."""
     if (path, added) not in _ENCODERS:
         _ENCODERS[path, added] = ChunkEncoder(path, limit, added)
