@@ -1,9 +1,14 @@
-"""Media columns: local image descriptors that find cropped or edited copies.
+"""Media columns: local image descriptors that find cropped, turned, rescaled or edited copies.
 
 Images are grey: (width, height, pixels), a byte per pixel, row by row. Corners are found at several scales, each gets an
-orientation and 128 binary tests of the smoothed image around it, turned by that orientation. Descriptors meet by equal
-32-bit words in a Hamming table, pairs near in Hamming distance vote for the shift between their images, and images
-whose shift has enough votes are copies.
+orientation and 128 binary tests of the smoothed image around it, turned by that orientation; a test says whether one
+place is brighter than another by more than a share of the contrast there, so that noise on plain areas decides nothing.
+Neighbouring corners form pairs. Pairs meet in Hamming tables by parts of both descriptors and by how the corners lie to
+each other, which neither shift, turn nor scale changes. Each match of pairs gives a similarity transform; images are
+copies where enough corners agree on one and the transform brings most of the query's corners onto like ones.
+
+Query images are held against all others in blocks: a task has a bounded number of corners of both, builds the tables of
+its own, and returns verified pairs only, so nothing but these grows with the number of look-alike corners.
 """
 
 from __future__ import annotations
@@ -16,25 +21,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, save
-
-SCALES = (1, 2)
-#: Corners kept for each image and scale, strongest first.
-CORNERS = 24
-RADIUS = 9
-ANGLES = 24
-BITS, WORDS = 128, 4  # a descriptor is kept as two 64-bit integers, a and b
-#: Largest Hamming distance of a match, and votes for one shift that make a copy.
-NEAR, VOTES = 24, 5
-#: Pixels of a bin of the shift.
-BIN = 8
+from .common import drop, read_table, save
+
+#: Scales are powers of STEP, as far as an image has room for a patch.
+STEP, LEVELS = 2**0.5, 8
+RADIUS, BITS, ANGLES = 7, 128, 32
+#: A corner is the strongest within so many pixels of its scale. There is no other bound on their number.
+APART = 2
+#: Tests count from this share of a patch's contrast on.
+MARGIN = 0.15
+#: Pairs of a corner with its nearest ones; bins of their direction, relative turn; tables, of a byte of both descriptors each.
+NEIGHBOURS, TURNS, TABLES = 3, 16, 4
+#: Largest Hamming distance of a match, and of a corner onto which the transform brings another.
+NEAR, LIKE = 18, 24
+#: Corners that must agree on a transform, and their least share of the corners of the image that has fewer.
+VOTES, SHARE = 3, 0.1
+#: Corners of the query that must fall on like ones, and their least share of those within the other image; and the least
+#: share of these in the corners of the image that has fewer.
+COVERED, COVER, WITHIN = 7, 0.65, 0.5
+#: Corners of stored images and of query images that a task holds, but for larger images.
+STORED, ASKED = 1 << 16, 1 << 16
 _IMAGE = "id long, width int, height int, pixels binary"
+_CORNER = np.dtype([("level", "u1"), ("turn", "u1"), ("y", "<f4"), ("x", "<f4"), ("bits", "<u8", 2)])
 
 
 def _tests() -> np.ndarray:
     """(ANGLES, BITS, 2, 2): places (y, x) of the two pixels of each test, for each orientation."""
     r = np.random.default_rng(11)
-    points = np.clip(r.normal(scale=RADIUS / 2.2, size=(BITS, 2, 2)), -RADIUS + 2, RADIUS - 2)
+    points = r.normal(scale=RADIUS / 2.2, size=(BITS, 2, 2))
+    far = np.sqrt((points**2).sum(-1, keepdims=True))
+    points = np.where(far > RADIUS - 1, points * (RADIUS - 1) / np.maximum(far, 1e-9), points)
     a = np.arange(ANGLES) * 2 * np.pi / ANGLES
     turn = np.stack([np.stack([np.cos(a), np.sin(a)], -1), np.stack([-np.sin(a), np.cos(a)], -1)], -2)
     return np.rint(np.einsum("aij,btj->abti", turn, points)).astype(np.int64)
@@ -42,7 +58,7 @@ def _tests() -> np.ndarray:
 
 _TESTS = _tests()
 _Y, _X = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
-_DISC = (_Y**2 + _X**2 <= RADIUS**2).astype(np.float64)
+_DISC = _Y**2 + _X**2 <= RADIUS**2
 
 
 def _box(x: np.ndarray, r: int) -> np.ndarray:
@@ -52,39 +68,56 @@ def _box(x: np.ndarray, r: int) -> np.ndarray:
     return p[n:, n:] - p[:-n, n:] - p[n:, :-n] + p[:-n, :-n]
 
 
-def describe(image: np.ndarray) -> list[tuple[int, int, int, int, list[int]]]:
-    """(scale, y, x, angle, words) of an image's corners, in its own pixels."""
+def _largest(x: np.ndarray, r: int) -> np.ndarray:
+    """Maxima over squares of 2r+1 pixels."""
+    p = np.pad(x, r, constant_values=-np.inf)
+    rows = np.max([p[i : i + x.shape[0]] for i in range(2 * r + 1)], axis=0)
+    return np.max([rows[:, i : i + x.shape[1]] for i in range(2 * r + 1)], axis=0)
+
+
+def _shrink(x: np.ndarray, n: int, axis: int) -> np.ndarray:
+    """An axis resampled to n places by triangles as wide as the step."""
+    size = x.shape[axis]
+    step = size / n
+    at = (np.arange(n) + 0.5) * step - 0.5
+    reach = int(np.ceil(step)) + 1
+    near = np.floor(at)[:, None].astype(np.int64) + np.arange(-reach, reach + 1)
+    weight = np.maximum(0, 1 - np.abs(near - at[:, None]) / step)
+    weight /= weight.sum(axis=1, keepdims=True)
+    taken = np.take(x, np.clip(near, 0, size - 1), axis=axis)
+    return np.einsum("ijw,ij->iw", taken, weight) if axis == 0 else np.einsum("hij,ij->hi", taken, weight)
+
+
+def describe(image: np.ndarray) -> np.ndarray:
+    """The corners of an image as _CORNER rows, places in its own pixels. Equal neighbours are corners alike."""
     out = []
-    for scale in SCALES:
-        h, w = image.shape[0] // scale, image.shape[1] // scale
+    for level in range(LEVELS):
+        h, w = (int(round(n / STEP**level)) for n in image.shape)
         if min(h, w) < 2 * RADIUS + 3:
             break
-        x = image[: h * scale, : w * scale].reshape(h, scale, w, scale).mean(axis=(1, 3))
+        x = image if level == 0 else _shrink(_shrink(image, h, 0), w, 1)
         gy, gx = np.gradient(x)
         a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
         strength = a * b - c * c - 0.05 * (a + b) ** 2
-        inside = np.zeros_like(strength, dtype=bool)
+        inside = np.zeros(strength.shape, dtype=bool)
         inside[RADIUS:-RADIUS, RADIUS:-RADIUS] = True
-        peak = inside & (strength > 1e-6 * max(strength.max(), 1.0))
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                if dy or dx:
-                    near = np.roll(strength, (dy, dx), (0, 1))
-                    peak &= (strength >= near) if (dy, dx) > (0, 0) else (strength > near)
-        at = np.argwhere(peak)
-        at = at[np.argsort(-strength[peak], kind="stable")[:CORNERS]]
-        if not len(at):
-            continue
+        at = np.argwhere(inside & (strength >= _largest(strength, APART)) & (strength > 1e-3 * max(strength.max(), 1.0)))
         smooth = _box(x, 1)
-        patch = smooth[at[:, 0, None, None] + _Y, at[:, 1, None, None] + _X] * _DISC
-        angle = np.arctan2((patch * _Y).sum((1, 2)), (patch * _X).sum((1, 2)))
-        turn = np.rint(angle * ANGLES / (2 * np.pi)).astype(np.int64) % ANGLES
-        place = at[:, None, None, :] + _TESTS[turn]
-        place = np.clip(place, 0, np.array([h - 1, w - 1]))
-        value = smooth[place[..., 0], place[..., 1]]
-        words = np.packbits(value[..., 0] < value[..., 1], axis=1).view(">u4").astype(np.int64)
-        out += [(scale, int(y) * scale, int(q) * scale, int(t), v) for (y, q), t, v in zip(at.tolist(), turn.tolist(), words.tolist(), strict=True)]
-    return out
+        for s in range(0, len(at), 4096):
+            p = at[s : s + 4096]
+            patch = smooth[p[:, 0, None, None] + _Y, p[:, 1, None, None] + _X]
+            own = patch[:, _DISC]
+            rest = (patch - own.mean(axis=1)[:, None, None]) * _DISC
+            angle = np.arctan2((rest * _Y).sum((1, 2)), (rest * _X).sum((1, 2)))
+            turn = np.rint(angle * ANGLES / (2 * np.pi)).astype(np.int64) % ANGLES
+            place = np.clip(p[:, None, None, :] + _TESTS[turn], 0, np.array([h - 1, w - 1]))
+            value = smooth[place[..., 0], place[..., 1]]
+            bits = np.packbits(value[..., 0] + MARGIN * own.std(axis=1)[:, None] < value[..., 1], axis=1)
+            rows = np.zeros(len(p), dtype=_CORNER)
+            rows["level"], rows["turn"], rows["bits"] = level, turn, np.ascontiguousarray(bits).view("<u8")
+            rows["y"], rows["x"] = (p[:, 0] + 0.5) * image.shape[0] / h, (p[:, 1] + 0.5) * image.shape[1] / w
+            out.append(rows)
+    return np.concatenate(out) if out else np.zeros(0, dtype=_CORNER)
 
 
 def pixels(width: int | None, height: int | None, data: bytes | None) -> np.ndarray | None:
@@ -95,52 +128,208 @@ def pixels(width: int | None, height: int | None, data: bytes | None) -> np.ndar
 
 
 def descriptors(images: DataFrame) -> DataFrame:
-    """(id, scale, place, a, b) for each corner; images that can't be read have none. place holds y, x and angle."""
+    """(id, n, corners): the corners of each image, one row an id; images that can't be read or have none are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i, w, h, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = pixels(w, h, data)
-                if x is not None:
-                    rows += [(i, s, y << 36 | q << 8 | t, *np.array([v[0] << 32 | v[1], v[2] << 32 | v[3]], dtype=np.uint64).view(np.int64).tolist()) for s, y, q, t, v in describe(x)]
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["id", "scale", "place", "a", "b"])
-
-    return images.select("id", "width", "height", "pixels").mapInArrow(run, "id long, scale int, place long, a long, b long")
+            for s in range(0, batch.num_rows, 256):
+                rows = []
+                for i, w, h, data in zip(*(c.to_pylist() for c in batch.slice(s, 256).columns), strict=True):
+                    x = pixels(w, h, data)
+                    found = describe(x) if x is not None and i is not None else ()
+                    if len(found):
+                        rows.append((i, len(found), found.tobytes()))
+                cols = list(zip(*rows, strict=True)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["id", "n", "corners"])
+
+    found = images.select("id", "width", "height", "pixels").mapInArrow(run, "id long, n int, corners binary")
+    return found.groupBy("id").agg(F.min(F.struct("n", "corners")).alias("c")).select("id", "c.*")
+
+
+def corner_pairs(corners: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second, shape): each corner with its nearest ones of the same image and scale, and how they lie to each
+    other: direction and turn of the second as the first sees them, in bins, and their distance in half octaves."""
+    firsts, seconds = [], []
+    group = owner.astype(np.int64) * LEVELS + corners["level"]
+    order = np.argsort(group, kind="stable")
+    cuts = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
+    y, x, turn = corners["y"].astype(np.float64), corners["x"].astype(np.float64), corners["turn"] * (2 * np.pi / ANGLES)
+    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+        at = order[s:e]
+        if len(at) < 2:
+            continue
+        k = min(NEIGHBOURS, len(at) - 1)
+        for c in range(0, len(at), 2048):
+            own = at[c : c + 2048]
+            far = np.hypot(y[at][None] - y[own][:, None], x[at][None] - x[own][:, None])
+            far[np.arange(len(own)), c + np.arange(len(own))] = np.inf
+            firsts.append(np.repeat(own, k))
+            seconds.append(at[np.argsort(far, axis=1, kind="stable")[:, :k]].ravel())
+    i, j = (np.concatenate(a) if a else np.zeros(0, dtype=np.int64) for a in (firsts, seconds))
+    dy, dx = y[j] - y[i], x[j] - x[i]
+    circle = TURNS / (2 * np.pi)
+    distance = 2 * np.log2(np.maximum(np.hypot(dy, dx), 1e-6) / STEP ** corners["level"][i])
+    return i, j, np.column_stack([(np.arctan2(dy, dx) - turn[i]) * circle % TURNS, (turn[j] - turn[i]) * circle % TURNS, distance])
+
+
+def _key(direction, turn, distance, table: int, bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    cell = ((direction % TURNS) * TURNS + turn % TURNS) * 64 + np.clip(distance, 0, 63)
+    return (cell.astype(np.int64) * TABLES + table) << 16 | bits[i, table].astype(np.int64) << 8 | bits[j, table]
+
+
+def _distance(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a[i, 0] ^ b[j, 0]) + np.bitwise_count(a[i, 1] ^ b[j, 1])
+
+
+def _matches(q: np.ndarray, q_pairs, d: np.ndarray, d_pairs, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the query's and the stored pairs that match: one key of a table, and both corners near."""
+    (qi, qj, qs), (di, dj, ds) = q_pairs, d_pairs
+    qb, db = q["bits"], d["bits"]
+    q8, d8 = (np.ascontiguousarray(b).view(np.uint8).reshape(len(b), 16) for b in (qb, db))
+    found = []
+    low = np.floor(qs - 0.5)  # the query's pairs go to the two nearest bins of each kind
+    for table in range(TABLES):
+        keys = _key(*np.floor(ds).T, table, d8, di, dj)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        for variant in range(8):
+            asked = _key(*(low + [variant >> 2, variant >> 1 & 1, variant & 1]).T, table, q8, qi, qj)
+            start = np.searchsorted(keys, asked, "left")
+            n = np.searchsorted(keys, asked, "right") - start
+            total = np.cumsum(n)
+            at = 0
+            while at < len(n):  # runs of query pairs with a bounded number of candidates, or one pair with more
+                end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + step, "right")))
+                m = n[at:end]
+                a = np.repeat(np.arange(at, end), m)
+                b = order[np.repeat(start[at:end] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+                good = _distance(qb, qi[a], db, di[b]) <= NEAR
+                a, b = a[good], b[good]
+                good = _distance(qb, qj[a], db, dj[b]) <= NEAR
+                found.append(a[good] * len(di) + b[good])
+                at = end
+    return np.divmod(np.unique(np.concatenate(found)), len(di)) if len(di) and found else (np.zeros(0, np.int64),) * 2
+
+
+def _distinct(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and of each the number of distinct values."""
+    order = np.lexsort((value, key))
+    k, v = key[order], value[order]
+    new = np.append(True, (k[1:] != k[:-1]) | (v[1:] != v[:-1]))[: len(k)]
+    return np.unique(k[new], return_counts=True)
+
+
+def _needed(a, b):
+    """Votes that images of a and b corners need."""
+    return np.maximum(VOTES, np.ceil(SHARE * np.minimum(a, b)))
+
+
+def copies(q: np.ndarray, q_owner: np.ndarray, d: np.ndarray, d_owner: np.ndarray) -> list[tuple[int, int, int]]:
+    """(query, stored, votes) of all copies among the images whose numbers the owners are."""
+    if not len(q) or not len(d):
+        return []
+    q_pairs, d_pairs = corner_pairs(q, q_owner), corner_pairs(d, d_owner)
+    a, b = _matches(q, q_pairs, d, d_pairs)
+    (qi, qj), (di, dj) = ((p[0][n], p[1][n]) for p, n in ((q_pairs, a), (d_pairs, b)))
+    zq, zd = (c["x"].astype(np.float64) + 1j * c["y"] for c in (q, d))
+    factor = (zd[dj] - zd[di]) / (zq[qj] - zq[qi])  # a similarity as z -> factor * z + shift
+    n_q, n_d = np.bincount(q_owner), np.bincount(d_owner)
+    pair = q_owner[qi].astype(np.int64) * len(n_d) + d_owner[di]
+    # pairs of images go on if enough corners agree on turn and scale, in one of the bins that are near
+    scale, turn = np.log2(np.abs(factor)) * 2, np.angle(factor) * TURNS / (2 * np.pi)
+    likely = []
+    for ds in (0, 0.5):
+        for dt in (0, 0.5):
+            key, votes = _distinct((pair * 64 + np.clip(np.floor(scale + ds) + 32, 0, 63).astype(np.int64)) * TURNS + np.floor(turn + dt).astype(np.int64) % TURNS, qi)
+            p = key // (64 * TURNS)
+            likely.append(p[votes >= _needed(n_q[p // len(n_d)], n_d[p % len(n_d)])])
+    likely = np.unique(np.concatenate(likely))
+    chosen = np.flatnonzero(np.isin(pair, likely))
+    chosen = chosen[np.argsort(pair[chosen], kind="stable")]
+    cuts = np.searchsorted(pair[chosen], np.append(likely, np.iinfo(np.int64).max))
+    q_order, d_order = np.argsort(q_owner, kind="stable"), np.argsort(d_owner, kind="stable")
+    q_at, d_at = np.append(0, np.cumsum(n_q)), np.append(0, np.cumsum(n_d))
+    out = []
+    for p, s, e in zip(likely.tolist(), cuts[:-1], cuts[1:], strict=True):
+        one, two = divmod(p, len(n_d))
+        m = chosen[s:e]
+        votes, f, shift = _agreement(zq[qi[m]], zd[di[m]], factor[m], qi[m], di[m])
+        if votes >= _needed(n_q[one], n_d[two]) and _covered(q[q_order[q_at[one] : q_at[one + 1]]], d[d_order[d_at[two] : d_at[two + 1]]], f, shift):
+            out.append((one, two, int(votes)))
+    return out
 
 
-def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
-    """(query_id, class_id, votes): the classes of equal images of which a query image is a cropped or edited copy.
+def _agreement(zq, zd, factor, qi, di, most: int = 64) -> tuple[int, complex, complex]:
+    """Corners that agree on the best of the matches' transforms (of ``most`` spread over them), and that transform."""
+    best = (0, 1 + 0j, 0j)
+    for h in np.unique(np.linspace(0, len(zq) - 1, min(most, len(zq))).astype(np.int64)):
+        f = factor[h]
+        shift = zd[h] - f * zq[h]
+        size = abs(f) * np.abs(zq - zq[h])
+        other = factor / f
+        good = (np.abs(f * zq + shift - zd) <= 2.5 * max(1.0, abs(f)) + 0.12 * size) & (np.abs(np.log2(np.abs(other))) <= 0.4) & (np.abs(np.angle(other)) <= 0.35)
+        votes = min(len(np.unique(qi[good])), len(np.unique(di[good])))
+        if votes > best[0]:
+            x, y = zq[good], zd[good]
+            u, v = x - x.mean(), y - y.mean()
+            fit = (v * u.conj()).sum() / max((np.abs(u) ** 2).sum(), 1e-9)  # least squares
+            best = (votes, fit, y.mean() - fit * x.mean())
+    return best
+
+
+def _covered(q: np.ndarray, d: np.ndarray, factor: complex, shift: complex) -> bool:
+    """Whether the transform brings enough of the query's corners within the other's onto like ones, of like scale."""
+    zq, zd = (c["x"].astype(np.float64) + 1j * c["y"] for c in (q, d))
+    to = factor * zq + shift
+    level = q["level"] + np.log(max(abs(factor), 1e-9)) / np.log(STEP)
+    inside = (to.real >= zd.real.min()) & (to.real <= zd.real.max()) & (to.imag >= zd.imag.min()) & (to.imag <= zd.imag.max()) & (level > -0.8) & (level < d["level"].max() + 0.8)
+    if inside.sum() < max(COVERED, WITHIN * min(len(q), len(d))):
+        return False
+    at = np.flatnonzero(inside)
+    like = np.zeros(len(at), dtype=bool)
+    for s in range(0, len(at), 1024):
+        i = at[s : s + 1024]
+        near = np.abs(to[i][:, None] - zd[None]) <= 2 + 1.5 * STEP ** level[i][:, None]
+        near &= np.abs(level[i][:, None] - d["level"][None]) <= 1
+        r, c = np.nonzero(near)
+        good = _distance(q["bits"], i[r], d["bits"], c) <= LIKE
+        like[s + np.unique(r[good])] = True
+    return like.sum() >= max(COVERED, COVER * len(at))
+
+
+def find_copies(queries: DataFrame, images: DataFrame, stored: int = STORED, asked: int = ASKED) -> DataFrame:
+    """(query_id, class_id, votes): the classes of equal images of which a query image is a copy, cropped, turned, rescaled
+    or edited.
 
     Equal images are one class, named by its smallest id, and compared once. Both inputs have (id, width, height,
-    pixels). A match needs an equal 32-bit word, at most NEAR differing bits and one scale; VOTES matches must agree
-    on the shift, to a bin or its neighbour, and on the turn. Rows of one id count as one image. Null ids and images that
-    can't be read find nothing; an empty table gives no rows. An equal image is found too if it has corners enough.
+    pixels); other columns are ignored. Of rows of one id that differ, the one with fewer corners counts. Null ids and
+    images that can't be read, or without corners, find nothing; an empty table gives no rows. An equal image is found too
+    if it has corners enough. Large images have corners in proportion; a task holds ``stored`` and ``asked`` corners.
     """
     named = classes(images).select(F.col("class_id").alias("id")).distinct()
-    stored = save(descriptors(images).join(named, "id", "left_semi"), "descriptors")
-    asked = save(descriptors(queries.where("id is not null")), "descriptors")
-
-    def words(d: DataFrame, side: str) -> DataFrame:
-        """A row for each word, keyed by scale, the word's number and its value."""
-        value = [F.shiftrightunsigned("a", 32), F.col("a").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("b", 32), F.col("b").bitwiseAND(F.lit(0xFFFFFFFF))]
-        keys = F.array(*(v + F.lit(i << 32) + F.col("scale").cast("long") * F.lit(1 << 36) for i, v in enumerate(value)))
-        return d.select(*(F.col(c).alias(f"{c}_{side}") for c in ("id", "place", "a", "b")), F.explode(keys).alias("k"))
-
-    apart = F.bit_count(F.col("a_q").bitwiseXOR(F.col("a_d"))) + F.bit_count(F.col("b_q").bitwiseXOR(F.col("b_d")))
-    matches = words(asked, "q").join(words(stored, "d"), "k").where(apart <= NEAR)
-    at = {f"{c}_{s}": F.shiftrightunsigned(f"place_{s}", n).bitwiseAND(F.lit(m)).cast("int") for s in "qd" for c, n, m in (("y", 36, (1 << 27) - 1), ("x", 8, (1 << 28) - 1), ("t", 0, 255))}
-    turn = F.pmod(at["t_q"] - at["t_d"], F.lit(ANGLES))
-    vote = matches.select("id_q", "id_d", "place_q", F.round((at["y_d"] - at["y_q"]) / BIN).cast("int").alias("by"), F.round((at["x_d"] - at["x_q"]) / BIN).cast("int").alias("bx"), turn.alias("turn"))
-    bins = vote.distinct().groupBy("id_q", "id_d", "by", "bx", "turn").agg(F.count("*").alias("n"))
-    # a pair with too few votes in all has too few for any shift; chance matches end here
-    voted = bins.groupBy("id_q", "id_d").agg(F.sum("n").alias("total"), F.collect_list(F.struct("by", "bx", "turn", "n")).alias("bins")).where(F.col("total") >= VOTES)
-    kept = voted.select("id_q", "id_d", F.explode("bins").alias("v")).select("id_q", "id_d", "v.*")
-    # a shift on the border of two bins has votes in both
-    spread = kept.select("id_q", "id_d", "turn", "n", F.explode(F.array(*(F.struct((F.col("by") + dy).alias("by"), (F.col("bx") + dx).alias("bx")) for dy in (0, 1) for dx in (0, 1)))).alias("b"))
-    best = spread.groupBy("id_q", "id_d", "turn", "b").agg(F.sum("n").alias("n")).groupBy("id_q", "id_d").agg(F.max("n").alias("votes"))
-    return best.where(F.col("votes") >= VOTES).select(F.col("id_q").alias("query_id"), F.col("id_d").alias("class_id"), "votes")
+    table = save(descriptors(images).join(named, "id", "left_semi"), "descriptors")
+    wanted = save(descriptors(queries.where("id is not null")), "descriptors")
+    size = [d.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for d in (table, wanted)]
+    g, h = -(-size[0] // stored) or 1, -(-size[1] // asked) or 1
+
+    def side(d: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        return d.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        arrays = []
+        for t in (left, right):
+            corners = np.frombuffer(b"".join(t["corners"].to_pylist()), dtype=_CORNER)
+            arrays.append((corners, np.repeat(np.arange(t.num_rows), t["n"].to_numpy())))
+        (d, d_owner), (q, q_owner) = arrays
+        found = copies(q, q_owner, d, d_owner)
+        ids = [t["id"].to_numpy() for t in (right, left)]
+        cols = [[ids[0][a] for a, _, _ in found], [ids[1][b] for _, b, _ in found], [v for *_, v in found]]
+        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "class_id", "votes"])
+
+    cells = side(table, "g", g, "h", h).groupBy("g", "h").cogroup(side(wanted, "h", h, "g", g).groupBy("g", "h"))
+    out = save(cells.applyInArrow(run, "query_id long, class_id long, votes long"), "copies")
+    drop(table, wanted)
+    return out
 
 
 def classes(images: DataFrame) -> DataFrame:
@@ -177,13 +366,34 @@ def draw(vector: list | None) -> bytes | None:
     return np.rint(image).astype(np.uint8).tobytes()
 
 
+def warp(image: np.ndarray, scale: float, degrees: float) -> np.ndarray:
+    """The image rescaled, and turned about its middle; edges are repeated."""
+    h, w = image.shape
+    small = [max(1, round(n * min(scale, 1.0))) for n in (h, w)]
+    x = _shrink(_shrink(image, small[0], 0), small[1], 1) if scale < 1 else image
+    rows, cols = (max(1, round(n * scale)) for n in (h, w))
+    y, q = np.mgrid[0:rows, 0:cols] - np.array([(rows - 1) / 2, (cols - 1) / 2])[:, None, None]
+    t, back = np.deg2rad(degrees), max(scale, 1.0)
+    u = np.clip((y * np.cos(t) - q * np.sin(t)) / back + (x.shape[0] - 1) / 2, 0, x.shape[0] - 1.001)
+    v = np.clip((y * np.sin(t) + q * np.cos(t)) / back + (x.shape[1] - 1) / 2, 0, x.shape[1] - 1.001)
+    i, j = u.astype(np.int64), v.astype(np.int64)
+    a, b = u - i, v - j
+    return x[i, j] * (1 - a) * (1 - b) + x[i + 1, j] * a * (1 - b) + x[i, j + 1] * (1 - a) * b + x[i + 1, j + 1] * a * b
+
+
 def edit(image: np.ndarray, seed: int) -> np.ndarray:
-    """A crop of an image with other brightness and contrast, and a little noise."""
+    """A copy, by turns cropped to five sixths or two thirds of each side, turned by up to 30 degrees, and rescaled to 0.7
+    to 1.4; each with other brightness and contrast, and a little noise."""
     r = np.random.default_rng(seed % 2**32)
-    h, w = image.shape
-    y, x = r.integers(0, max(h // 6, 1)), r.integers(0, max(w // 6, 1))
-    part = image[y : y + h * 5 // 6, x : x + w * 5 // 6]
-    return np.clip(np.rint(part * r.uniform(0.8, 1.1) + r.uniform(-10, 10) + r.normal(scale=0.7, size=part.shape)), 0, 255).astype(np.uint8)
+    kind = int(r.integers(4))
+    if kind < 2:
+        part = (5 / 6, 2 / 3)[kind]
+        h, w = (int(n * part) for n in image.shape)
+        y, x = r.integers(0, image.shape[0] - h + 1), r.integers(0, image.shape[1] - w + 1)
+        image = image[y : y + h, x : x + w]
+    else:
+        image = warp(image, 1.0, r.uniform(-30, 30)) if kind == 2 else warp(image, r.uniform(0.7, 1.4), 0.0)
+    return np.clip(np.rint(image * r.uniform(0.8, 1.1) + r.uniform(-10, 10) + r.normal(scale=0.7, size=image.shape)), 0, 255).astype(np.uint8)
 
 
 def embedding_images(vectors: DataFrame, edited: bool = False) -> DataFrame:

@@ -1,18 +1,87 @@
 import numpy as np
+import pytest
 
 from hushframe.llm import media
 
 
+def drawings(n, seed, side=1):
+    """n drawings, or mosaics of side times side drawings."""
+    r = np.random.default_rng(seed)
+    one = lambda: np.frombuffer(media.draw(r.normal(size=8).tolist()), dtype=np.uint8).reshape(media.SIDE, media.SIDE).astype(float)
+    return [np.block([[one() for _ in range(side)] for _ in range(side)]) for _ in range(n)]
+
+
+def corners(images):
+    found = [media.describe(x) for x in images]
+    return np.concatenate(found), np.repeat(np.arange(len(found)), [len(x) for x in found])
+
+
+def noisy(x, r):
+    return np.clip(np.rint(x * r.uniform(0.8, 1.1) + r.uniform(-10, 10) + r.normal(scale=0.7, size=x.shape)), 0, 255)
+
+
+def half(x, r):
+    h, w = (n // 2 for n in x.shape)
+    y, q = r.integers(0, h), r.integers(0, w)
+    return x[y : y + h, q : q + w]
+
+
+EDITS = {
+    "same": lambda x, r: x,
+    "turned by 15": lambda x, r: media.warp(x, 1, 15),
+    "turned by 90": lambda x, r: np.rot90(x).copy(),
+    "doubled": lambda x, r: media.warp(x, 2, 0),
+    "enlarged": lambda x, r: media.warp(x, 1.4, 0),
+    "reduced": lambda x, r: media.warp(x, 0.7, 0),
+}
+
+
+@pytest.mark.parametrize("name", EDITS)
+def test_recall_of_edits(name):
+    r, images = np.random.default_rng(4), drawings(60, 5)
+    found = media.copies(*corners([noisy(EDITS[name](x, r), r) for x in images[:30]]), *corners(images))
+    assert sum(a == b for a, b, _ in found) >= 27 and sum(a != b for a, b, _ in found) <= 2
+
+
+@pytest.mark.parametrize(("name", "edit"), [("half", half), ("halved", lambda x, r: media.warp(x, 0.5, 0)), ("turned by 40", lambda x, r: media.warp(x, 1, 40))])
+def test_recall_on_larger_images(name, edit):
+    r, images = np.random.default_rng(6), drawings(30, 7, side=2)
+    found = media.copies(*corners([noisy(edit(x, r), r) for x in images]), *corners(images))
+    assert sum(a == b for a, b, _ in found) >= 27 and sum(a != b for a, b, _ in found) <= 2
+
+
+def test_tables_find_what_comparing_all_pairs_finds(monkeypatch):
+    r, images = np.random.default_rng(8), drawings(24, 9)
+    q, d = corners([noisy(media.warp(x, r.uniform(0.7, 1.4), r.uniform(-30, 30)), r) for x in images]), corners(images)
+    fast = {(a, b) for a, b, _ in media.copies(*q, *d)}
+
+    def every(q, q_pairs, d, d_pairs):
+        """All pairs of corners within NEAR whose shapes are within a bin and a half, without tables."""
+        (qi, qj, qs), (di, dj, ds) = q_pairs, d_pairs
+        near = np.bitwise_count(q["bits"][:, None] ^ d["bits"][None]).sum(2) <= media.NEAR
+        a, b = np.nonzero(near[qi][:, di] & near[qj][:, dj])
+        apart = np.abs(qs[a] - ds[b])
+        apart[:, :2] = np.minimum(apart[:, :2], media.TURNS - apart[:, :2])
+        good = (apart <= 1.5).all(axis=1)
+        return a[good], b[good]
+
+    monkeypatch.setattr(media, "_matches", every)
+    slow = {(a, b) for a, b, _ in media.copies(*q, *d)}
+    assert len(slow) >= 20 and len(fast & slow) >= 0.9 * len(slow)
+
+
 def test_edited_copies_are_found_and_others_left(spark):
     r = np.random.default_rng(2)
     vectors = [(i, r.normal(size=8).tolist()) for i in range(80)]
-    vectors += [(100, vectors[3][1]), (101, vectors[3][1]), (102, None), (103, [float("nan")]), (None, [1.0]), (104, [])]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").selectExpr("*", "1 as id", "'x' as pixels").repartition(3)
+    vectors += [(100, vectors[3][1]), (101, vectors[3][1]), (102, None), (103, [float("nan")]), (None, [1.0]), (104, [])] + [vectors[7]] * 3
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").selectExpr("*", "1 as id", "'x' as pixels", "2 as n", "3 as g").repartition(3)
     images = media.embedding_images(df)
     asked = media.embedding_images(df.where("vec_id % 2 = 0"), edited=True)
-    got = {(x.query_id, x.class_id) for x in media.find_copies(asked, images).collect()}
+    got = [(x.query_id, x.class_id) for x in media.find_copies(asked, images).collect()]
     want = {(i, i) for i in range(0, 80, 2)} | {(100, 3)}
-    assert got <= want and len(got) >= 0.9 * len(want)
+    assert len(got) == len(set(got)) and len(set(got) - want) <= 2 and len(set(got) & want) >= 0.9 * len(want)
+    blocks = {(x.query_id, x.class_id) for x in media.find_copies(asked, images, stored=700, asked=300).collect()}
+    assert blocks == set(got)  # whatever the blocks
     assert media.find_copies(asked.limit(0), images).count() == 0 and media.find_copies(asked, images.limit(0)).count() == 0
 
 
@@ -23,20 +92,18 @@ def test_classes_of_equal_images(spark):
 
 
 def test_descriptors_follow_shift_and_brightness():
-    image = np.frombuffer(media.draw([0.3] * 8), dtype=np.uint8).reshape(media.SIDE, media.SIDE).astype(float)
+    image = drawings(1, 3)[0]
     a, b = media.describe(image), media.describe(image[5:, 3:] * 0.5 + 20)
-    places = {(s, y, x): v for s, y, x, _, v in a if s == 1}
-    same = [v == places[(1, y + 5, x + 3)] for s, y, x, _, v in b if s == 1 and (1, y + 5, x + 3) in places]
-    assert len(same) >= 8 and sum(same) >= 0.9 * len(same)
-    assert media.describe(np.zeros((72, 72))) == [] and media.describe(np.zeros((3, 3))) == []
-    assert media.pixels(2, 2, b"abc") is None
-
-
-def test_weaker_matches_and_weaker_corners_count(spark, monkeypatch):
-    many = np.random.default_rng(3).integers(0, 256, (96, 96)).astype(float)
-    assert sum(s == 1 for s, *_ in media.describe(many)) == 24
-    # six corners a side at one shift, 20 bits apart
-    corners = "select id, 1 as scale, shiftleft(10L * c, 36) as place, shiftleft(c + 1L, 32) as a, if(id = 1, 0L, 1048575L) as b from {d} lateral view explode(sequence(1, 6)) as c"
-    monkeypatch.setattr(media, "descriptors", lambda d: spark.sql(corners, d=d))
-    frame = lambda i: spark.createDataFrame([(i, 1, 1, bytes([i]))], "id long, width int, height int, pixels binary")
-    assert [tuple(x)[:2] for x in media.find_copies(frame(1), frame(2)).collect()] == [(1, 2)]
+    places = {(x["y"], x["x"]): x["bits"].tolist() for x in a if x["level"] == 0}
+    same = [x["bits"].tolist() == places[x["y"] + 5, x["x"] + 3] for x in b if x["level"] == 0 and (x["y"] + 5, x["x"] + 3) in places]
+    assert len(same) >= 20 and sum(same) >= 0.9 * len(same)
+
+
+def test_odd_images():
+    for x in (np.zeros((72, 72)), np.full((300, 20), 7.0), np.zeros((3, 3))):
+        assert len(media.describe(x)) == 0
+    tiles = np.kron(np.indices((40, 40)).sum(0) % 2, np.ones((8, 8))) * 255.0  # all corners tie
+    found = media.describe(tiles)
+    assert len(found) > 500 and len(media.copies(found, np.zeros(len(found), int), found[:0], np.zeros(0, int))) == 0
+    assert len(media.describe(np.random.default_rng(3).integers(0, 256, (900, 900)).astype(float))) > 10_000  # no bound but the area
+    assert media.pixels(2, 2, b"abc") is None and media.pixels(None, 2, b"ab") is None and media.pixels(2, 1, b"ab").shape == (1, 2)
