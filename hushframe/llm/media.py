@@ -39,8 +39,8 @@ VOTES, SHARE = 3, 0.1
 #: Corners of the query that must fall on like ones, and their least share of those within the other image; and the least
 #: share of these in the corners of the image that has fewer.
 COVERED, COVER, WITHIN = 7, 0.65, 0.5
-#: Corners of stored images and of query images that a task holds, but for larger images.
-STORED, ASKED = 1 << 16, 1 << 16
+#: Corners of stored images and of query images that a task holds, and that it compares at once, but for larger images.
+STORED, ASKED, BLOCK = 1 << 16, 1 << 16, 1 << 14
 _IMAGE = "id long, width int, height int, pixels binary"
 _CORNER = np.dtype([("level", "u1"), ("turn", "u1"), ("y", "<f4"), ("x", "<f4"), ("bits", "<u8", 2)])
 
@@ -181,7 +181,7 @@ def _distance(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.
     return np.bitwise_count(a[i, 0] ^ b[j, 0]) + np.bitwise_count(a[i, 1] ^ b[j, 1])
 
 
-def _matches(q: np.ndarray, q_pairs, d: np.ndarray, d_pairs, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def _matches(q: np.ndarray, q_pairs, d: np.ndarray, d_pairs, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the query's and the stored pairs that match: one key of a table, and both corners near."""
     (qi, qj, qs), (di, dj, ds) = q_pairs, d_pairs
     qb, db = q["bits"], d["bits"]
@@ -224,11 +224,25 @@ def _needed(a, b):
     return np.maximum(VOTES, np.ceil(SHARE * np.minimum(a, b)))
 
 
-def copies(q: np.ndarray, q_owner: np.ndarray, d: np.ndarray, d_owner: np.ndarray) -> list[tuple[int, int, int]]:
-    """(query, stored, votes) of all copies among the images whose numbers the owners are."""
-    if not len(q) or not len(d):
-        return []
-    q_pairs, d_pairs = corner_pairs(q, q_owner), corner_pairs(d, d_owner)
+def copies(q: np.ndarray, q_owner: np.ndarray, d: np.ndarray, d_owner: np.ndarray, block: int = BLOCK) -> list[tuple[int, int, int]]:
+    """(query, stored, votes) of all copies among the images whose numbers, in ascending order, the owners are."""
+    queries, stored = list(_blocks(q, q_owner, block)), list(_blocks(d, d_owner, block))
+    return [(a + x, b + y, v) for x, *one in queries for y, *two in stored for a, b, v in _copies(*one, *two)]
+
+
+def _blocks(corners: np.ndarray, owner: np.ndarray, size: int) -> Iterator[tuple]:
+    """(first image, corners, owners from 0, pairs) of runs of whole images with at most ``size`` corners, or one image."""
+    ends = np.append(np.flatnonzero(np.diff(owner)) + 1, len(owner))[: len(owner)]
+    start = 0
+    while start < len(owner):
+        fit = ends[np.searchsorted(ends, start + size, "right") - 1] if len(ends) and ends[0] <= start + size else 0
+        end = int(fit) if fit > start else int(ends[np.searchsorted(ends, start, "right")])
+        c, o = corners[start:end], owner[start:end] - owner[start]
+        yield int(owner[start]), c, o, corner_pairs(c, o)
+        start = end
+
+
+def _copies(q: np.ndarray, q_owner: np.ndarray, q_pairs: tuple, d: np.ndarray, d_owner: np.ndarray, d_pairs: tuple) -> list[tuple[int, int, int]]:
     a, b = _matches(q, q_pairs, d, d_pairs)
     (qi, qj), (di, dj) = ((p[0][n], p[1][n]) for p, n in ((q_pairs, a), (d_pairs, b)))
     zq, zd = (c["x"].astype(np.float64) + 1j * c["y"] for c in (q, d))
