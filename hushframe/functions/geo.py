@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The box, the grid and the length of a degree in km.
 LON_EAST, LON_WEST, LAT_NORTH, LAT_SOUTH = -73.7, -74.05, 41.0, 40.5
@@ -58,31 +54,26 @@ def random_lat(seed: int) -> Column:
     return (LAT_SOUTH + (LAT_NORTH - LAT_SOUTH) * F.rand(seed)).cast("float")
 
 
-def cells_between(lon1: float, lat1: float, lon2: float, lat2: float) -> list[int]:
-    """Cells of a line on the grid, from its western end: each step goes to the side of the cell that the line leaves by.
-
-    Where a falling line leaves by a corner, the step goes two cells on."""
-    ends = sorted([(math.floor((abs(LON_WEST) - abs(o)) / DELTA_LON), math.floor((LAT_NORTH - a) / DELTA_LAT), i) for i, (o, a) in enumerate(((lon1, lat1), (lon2, lat2)))], key=lambda e: (e[0], e[2]))
-    (x, y, _), (to_x, to_y, _) = ends
-    x0, y0 = x, y
-    slope = (to_y - y) / (to_x - x + 1e-8)
-    step = 1 if slope > 0 else -1
-    out = [x + y * GRID_X]
-    while x < to_x or y != to_y:
-        # where the line crosses the far side of this column, seen from the middle of the cell
-        gap = ((x - x0 + 0.5) * slope + y0 - 0.5 * step - y) * step
-        if abs(gap) < 0.05:
-            x, y = x + (1 if step > 0 else 2), y + step
-        elif gap < 0:
-            x += 1
-        else:
-            y += step
-        out.append(x + y * GRID_X)
-        if len(out) > 4 * (abs(to_x - x0) + abs(to_y - y0) + 2):
-            raise ValueError(f"the way from {lon1}, {lat1} to {lon2}, {lat2} misses its end")
-    return out
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def grid_cells_on_way(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
-    return pd.Series([cells_between(*p) for p in zip(lon1, lat1, lon2, lat2, strict=True)])
+def cells_on_way(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Cells that the line between the middles of two cells passes, as an array from its western end (the first position,
+    if both lie in one column); null where a coordinate is null.
+
+    The line leaves the i-th column of cells at i + 1/2 columns from its start, so the rows passed in each column follow
+    from the slope alone, in whole numbers. Where it leaves within a twentieth of a cell's height from a corner, it goes on
+    in the cell beyond that corner, on rising and falling lines alike.
+    """
+    x1, y1, x2, y2 = (c.cast("long") for c in (_x(lon1), _y(lat1), _x(lon2), _y(lat2)))
+    west, east = F.struct(x1.alias("x"), y1.alias("y")), F.struct(x2.alias("x"), y2.alias("y"))
+    ends = F.when(x1 <= x2, F.array(west, east)).otherwise(F.array(east, west))
+    x, y = ends[0]["x"], ends[0]["y"]
+    wide, high, up = ends[1]["x"] - x, F.abs(ends[1]["y"] - y), F.when(ends[1]["y"] < y, -1).otherwise(1)
+
+    def column(i: Column) -> Column:
+        # heights in fortieths of a row, times the width; 18 of them are a half less a twentieth
+        first = F.when(i == 0, F.lit(0)).otherwise(F.ceil((20 * (2 * i - 1) * high - 18 * wide) / (40 * wide)))
+        last = F.when(i == wide, high).otherwise(F.floor((20 * (2 * i + 1) * high + 18 * wide) / (40 * wide)))
+        last = F.greatest(first.cast("long"), last.cast("long"))  # a flat line passes a corner for several columns
+        return F.transform(F.sequence(first.cast("long"), last), lambda r: (x + i + (y + up * r) * GRID_X).cast("int"))
+
+    known = lon1.isNotNull() & lat1.isNotNull() & lon2.isNotNull() & lat2.isNotNull()
+    return F.when(known, F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), wide), column)))

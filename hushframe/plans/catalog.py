@@ -347,10 +347,20 @@ def geo_direction(spark, sf_dir):
     return _positions(spark, sf_dir).select("event_id", geo.direction(F.col("lon"), F.col("lat"), F.col("lon2") + 0.00071, F.col("lat2") + 0.00037).alias("degrees"))
 
 
-@_query("geo_cells_on_way")
+#: The columns of cells that a line passes are numbered i, their rows r, both from the western end; all in whole numbers.
+_WAYS = f"""
+SELECT event_id, CASE WHEN x1 <= x2 THEN x1 ELSE x2 END AS x, CASE WHEN x1 <= x2 THEN y1 ELSE y2 END AS y, abs(x2 - x1) AS wide, abs(y2 - y1) AS high, CASE WHEN (x2 - x1 >= 0) = (y2 - y1 >= 0) THEN 1 ELSE -1 END AS up
+FROM (SELECT event_id, CAST(floor((74.05::DOUBLE - abs(lon)) / 0.0014::DOUBLE) AS BIGINT) AS x1, CAST(floor((41.0::DOUBLE - lat) / 0.00125::DOUBLE) AS BIGINT) AS y1, CAST(floor((74.05::DOUBLE - abs(lon2)) / 0.0014::DOUBLE) AS BIGINT) AS x2, CAST(floor((41.0::DOUBLE - lat2) / 0.00125::DOUBLE) AS BIGINT) AS y2 FROM {_POS} p) q"""
+
+
+@_query("geo_cells_on_way", f"""
+WITH w AS ({_WAYS}), c AS (SELECT *, unnest(range(wide + 1)) AS i FROM w),
+f AS (SELECT *, CASE WHEN i = 0 THEN 0 ELSE (20 * (2 * i - 1) * high + 22 * wide - 1) // (40 * wide) END AS first, CASE WHEN i = wide THEN high ELSE (20 * (2 * i + 1) * high + 18 * wide) // (40 * wide) END AS last FROM c)
+SELECT event_id, string_agg(CAST(x + i + (y + up * r) * 250 AS VARCHAR), ',' ORDER BY i, r) AS cells FROM (SELECT *, unnest(range(first, greatest(first, last) + 1)) AS r FROM f) g GROUP BY event_id""")
 def geo_cells_on_way(spark, sf_dir):
     p = _positions(spark, sf_dir)
-    return p.select("event_id", geo.grid_cells_on_way("lon", "lat", "lon2", "lat2").alias("cells"))
+    cells = geo.cells_on_way(*map(F.col, ("lon", "lat", "lon2", "lat2")))
+    return p.select("event_id", F.array_join(cells, ",").alias("cells"))
 
 
 @_query("taxi_fares")

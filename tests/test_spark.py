@@ -1,5 +1,6 @@
 import socket
 import threading
+from fractions import Fraction
 
 import duckdb
 import pytest
@@ -149,10 +150,31 @@ def test_jobs(spark, tmp_path):
     assert energy.first()["METER_READING"] == "3.5" and energy.first()["PRIMARY_USE"] == "Office"
 
 
-def test_geo():
-    assert geo.cells_between(-74.0, 40.75, -74.0, 40.75) == [35 + 200 * 250]
-    line = geo.cells_between(-74.0, 40.75, -73.99, 40.76)
-    assert len(line) == len(set(line)) >= 8
+def _walk(x, y, to_x, to_y):
+    """Cells of a line between the middles of two cells by fractions, one border at a time; x doesn't fall."""
+    up, wide, high = (1 if to_y >= y else -1), to_x - x, abs(to_y - y)
+    i = r = 0
+    out = [(x, y)]
+    while (i, r) != (wide, high):
+        over = Fraction(2 * i + 1, 2 * wide) * high - r - Fraction(1, 2) if i < wide else 1  # of the row's far border
+        corner = abs(over) < Fraction(1, 20)
+        i, r = i + (corner or over < 0), r + (corner or over > 0)
+        out.append((x + i, y + up * r))
+    return out
+
+
+def test_cells_on_way(spark):
+    ends = [(a, 200, 20, b) for a in (20, 3, 0) for b in range(140, 260, 3)] + [(20, 200, 20, 200), (5, 90, 45, 91), (5, 90, 200, 93), (5, 90, 200, 87), (5, 90, 6, 130)]
+    ends += [(a, b, a + n, b + m) for a, b, n, m in ((7, 300, 9, 9), (7, 300, 9, -9), (7, 300, 5, 15), (7, 300, 15, -5))]  # through corners
+    lon, lat = (lambda x: -74.05 + 0.0014 * (x + 0.5)), (lambda y: 41 - 0.00125 * (y + 0.5))
+    rows = [(k, lon(a), lat(b), lon(c), lat(d)) for k, (a, b, c, d) in enumerate(ends)]
+    df = spark.createDataFrame([*rows, (-1, None, 40.7, -74.0, 40.7)], "k int, a double, b double, c double, d double")
+    got = {r.k: r.cells for r in df.select("k", geo.cells_on_way(*map(F.col, "abcd")).alias("cells")).collect()}
+    back = {r.k: r.cells for r in df.select("k", geo.cells_on_way(*map(F.col, "cdab")).alias("cells")).collect()}
+    assert got[-1] is None
+    for k, (a, b, c, d) in enumerate(ends):
+        assert got[k] == [x + y * geo.GRID_X for x, y in _walk(a, b, c, d)]
+        assert back[k] == (got[k] if a < c else got[k][::-1])
 
 
 def test_rides(spark):
