@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..rules import RuleSet
-from .generalizers import Categories
+from .generalizers import Categories, Reduction
 
 
 def _summaries(df: DataFrame, rules: RuleSet) -> list[Column]:
@@ -45,14 +45,27 @@ def generalize_rows(df: DataFrame, keys: list[str], rules: RuleSet) -> DataFrame
     return df.select(*keys, *passing).join(groups, keys)
 
 
-def enlargement(df: DataFrame, keys: list[str], rules: RuleSet, probes: DataFrame, probe_id: str) -> DataFrame:
-    """(keys, probe_id, enlargement): how a group's loss grows with a probe row. Probes are a stated set, broadcast."""
-    base = df.groupBy(*keys).agg(*_summaries(df, rules)).select(*keys, *(f"_s_{r.column}" for r in rules.quasi_identifiers))
-    asked = F.broadcast(probes.select(probe_id, *(F.col(r.column).alias(f"_p_{r.column}") for r in rules.quasi_identifiers)))
-    both = base.join(asked)
+def _merged(rules: RuleSet, one: str, two: str) -> list[Column]:
+    """Summaries of two groups together: least and greatest values and lengths, whatever the generalizer. Nulls don't count."""
+    out = []
     for r in rules.quasi_identifiers:
-        s, p = F.col(f"_s_{r.column}"), F.col(f"_p_{r.column}")
-        both = both.withColumn(f"_w_{r.column}", F.struct(F.least(s["lo"], p).alias("lo"), F.greatest(s["hi"], p).alias("hi")))
+        x, y = F.col(f"{one}{r.column}"), F.col(f"{two}{r.column}")
+        parts = {"a": F.least, "b": F.greatest} if isinstance(r.generalizer, Categories) else {"lo": F.least, "hi": F.greatest}
+        if isinstance(r.generalizer, Reduction):
+            parts = {"a": F.least, "b": F.greatest, "lo": F.least, "hi": F.greatest}
+        out.append(F.struct(*(f(x[n], y[n]).alias(n) for n, f in parts.items())).alias(f"_w_{r.column}"))
+    return out
+
+
+def enlargement(df: DataFrame, keys: list[str], rules: RuleSet, probes: DataFrame, probe_id: str) -> DataFrame:
+    """(keys, probe_id, enlargement): how a group's loss grows with a probe, for each group and probe.
+
+    A probe is the rows of one probe_id: a single row, or a group to merge with. Probes are a stated set, broadcast.
+    """
+    columns = [f"_s_{r.column}" for r in rules.quasi_identifiers]
+    base = df.groupBy(*keys).agg(*_summaries(df, rules)).select(*keys, *columns)
+    asked = probes.groupBy(probe_id).agg(*_summaries(probes, rules)).withColumnsRenamed({c: "_p" + c[2:] for c in columns})
+    both = base.join(F.broadcast(asked)).select("*", *_merged(rules, "_s_", "_p_"))
     return both.select(*keys, probe_id, (info_loss(rules, "_w_") - info_loss(rules)).alias("enlargement"))
 
 

@@ -54,6 +54,20 @@ def test_groups_agree_with_kernel_values(spark):
     assert got == {"a": ("123***", (5, 5), "Round"), "b": ("", (1, 1), "new")}
 
 
+def test_enlargement_is_the_growth_of_the_loss(spark):
+    tree = Hierarchy([["Round", "Ball"], ["Round", "Cylinder"], ["NotRound", "Cube"]])
+    rules = RuleSet.of(("s", "n", "c"), Rule("s", Reduction()), Rule("n", Aggregation(0, 10, "int")), Rule("c", Categories(tree)))
+    rows = [("a", "123456", 5, "Ball"), ("a", "123567", None, "Cylinder"), ("b", None, None, None), ("c", "12", 1, "Cube")]
+    probes = [(1, "123999", 7, "Ball"), (2, "99", 0, "Cube"), (3, None, None, None), (4, "123450", 6, "Ball"), (4, "124", 9, "Cylinder")]
+    df, asked = spark.createDataFrame(rows, "g string, s string, n int, c string"), spark.createDataFrame(probes, "p int, s string, n int, c string")
+    got = {(r.g, r.p): r.enlargement for r in groups.enlargement(df, ["g"], rules, asked, "p").collect()}
+    together = [(f"{g}{p}", *x[1:]) for g in "abc" for p in range(5) for x in [*rows, *probes] if x[0] in (g, p)]
+    loss = {r.g: r.info_loss for r in groups.generalize_groups(spark.createDataFrame(together, df.schema), ["g"], rules).collect()}
+    assert len(got) == 12
+    for (g, p), v in got.items():
+        assert v == pytest.approx(loss[f"{g}{p}"] - loss[f"{g}0"])
+
+
 def rows_of(spark, n=400):
     return spark.range(n).select(F.col("id").alias("seq"), (F.xxhash64("id") % 40).alias("subject"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)) / 10).alias("v"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(4)).alias("s"))
 
