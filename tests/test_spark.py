@@ -68,6 +68,19 @@ def test_enlargement_is_the_growth_of_the_loss(spark):
         assert v == pytest.approx(loss[f"{g}{p}"] - loss[f"{g}0"])
 
 
+def test_greedy_diversity_by_hand(spark):
+    """Against rounds over single rows: the most frequent (column, value), ties to the earlier column, then by text."""
+    rows = [(g, (7 * i * g) % 5 if i % 11 else None, "xyz"[(i * i + g) % 3] if i % 7 else None) for g in range(1, 7) for i in range(3 * g)]
+    got = {r.g: r.diversity for r in groups.greedy_diversity(spark.createDataFrame(rows, "g int, a int, b string"), ["g"], ["a", "b"]).collect()}
+    for g in range(1, 7):
+        left, rounds = [r[1:] for r in rows if r[0] == g], 0
+        while left:
+            found = {(c, r[c]) for r in left for c in (0, 1)}
+            c, v = min(found, key=lambda f: (-sum(r[f[0]] == f[1] for r in left), f[0], str(f[1])))
+            left, rounds = [r for r in left if r[c] != v], rounds + 1
+        assert got[g] == rounds
+
+
 def rows_of(spark, n=400):
     return spark.range(n).select(F.col("id").alias("seq"), (F.xxhash64("id") % 40).alias("subject"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)) / 10).alias("v"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(4)).alias("s"))
 
