@@ -208,8 +208,8 @@ def test_cells_on_way(spark):
 def beyond(spark, tmp_path_factory):
     """Events of which some have values outside the declared domain; they come second or later in their group."""
     at = str(tmp_path_factory.mktemp("beyond"))
-    value = F.when(F.col("event_id") % 97 == 5, F.col("value") + 640).otherwise(F.col("value"))
-    spark.read.parquet(f"{SF}/events.parquet").withColumn("value", value).coalesce(1).write.parquet(f"{at}/events.parquet")
+    value = F.when(F.col("event_id") % 97 == 5, F.col("value") + 640 + F.col("event_id")).otherwise(F.col("value"))
+    spark.read.parquet("/root/testdata/sf0.01/events.parquet").where("event_id < 4000").withColumn("value", value).coalesce(1).write.parquet(f"{at}/events.parquet")
     return at
 
 
@@ -226,6 +226,10 @@ def test_suppressed_rows_show_the_declared_domain(spark, beyond):
     assert equals_sql(spark, "cluster_suppressed", beyond)
 
 
+def test_losses_are_shares_of_the_declared_domain(spark, beyond):
+    assert equals_sql(spark, "cluster_windows", beyond)
+
+
 def test_rides(spark):
     r = taxi.rides(spark, 100)
     assert r.count() == 200 and taxi.in_ride_order(r).first().is_start
