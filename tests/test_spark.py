@@ -230,7 +230,7 @@ def test_losses_are_shares_of_the_declared_domain(spark, beyond):
     assert equals_sql(spark, "cluster_windows", beyond)
 
 
-@pytest.mark.parametrize("name", ["cluster_invariants"])
+@pytest.mark.parametrize("name", ["cluster_invariants", "cluster_k_only_invariants"])
 def test_rows_beyond_the_domain_are_covered(spark, beyond, name):
     assert equals_sql(spark, name, beyond)
 
