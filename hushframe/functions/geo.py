@@ -54,6 +54,11 @@ def random_lat(seed: int) -> Column:
     return (LAT_SOUTH + (LAT_NORTH - LAT_SOUTH) * F.rand(seed)).cast("float")
 
 
+def _bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, not wherever ``f`` uses it: nothing within a lambda is shared otherwise."""
+    return F.transform(F.array(value), f)[0]
+
+
 def cells_on_way(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Cells that the line between the middles of two cells passes, as an array from its western end (the first position,
     if both lie in one column); null where a coordinate is null.
@@ -62,18 +67,26 @@ def cells_on_way(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
     from the slope alone, in whole numbers. Where it leaves within a twentieth of a cell's height from a corner, it goes on
     in the cell beyond that corner, on rising and falling lines alike.
     """
-    x1, y1, x2, y2 = (c.cast("long") for c in (_x(lon1), _y(lat1), _x(lon2), _y(lat2)))
-    west, east = F.struct(x1.alias("x"), y1.alias("y")), F.struct(x2.alias("x"), y2.alias("y"))
-    ends = F.when(x1 <= x2, F.array(west, east)).otherwise(F.array(east, west))
-    x, y = ends[0]["x"], ends[0]["y"]
-    wide, high, up = ends[1]["x"] - x, F.abs(ends[1]["y"] - y), F.when(ends[1]["y"] < y, -1).otherwise(1)
+    ends = F.struct(*(c.cast("long").alias(n) for n, c in (("x1", _x(lon1)), ("y1", _y(lat1)), ("x2", _x(lon2)), ("y2", _y(lat2)))))
 
-    def column(i: Column) -> Column:
+    def way(e: Column) -> Column:
+        east = e["x1"] <= e["x2"]
+        x, y, y_end = F.when(east, e["x1"]).otherwise(e["x2"]), F.when(east, e["y1"]).otherwise(e["y2"]), F.when(east, e["y2"]).otherwise(e["y1"])
+        wide, high = F.abs(e["x2"] - e["x1"]), F.abs(y_end - y)
+        step = F.when(y_end < y, -GRID_X).otherwise(GRID_X)
         # heights in fortieths of a row, times the width; 18 of them are a half less a twentieth
-        first = F.when(i == 0, F.lit(0)).otherwise(F.ceil((20 * (2 * i - 1) * high - 18 * wide) / (40 * wide)))
-        last = F.when(i == wide, high).otherwise(F.floor((20 * (2 * i + 1) * high + 18 * wide) / (40 * wide)))
-        last = F.greatest(first.cast("long"), last.cast("long"))  # a flat line passes a corner for several columns
-        return F.transform(F.sequence(first.cast("long"), last), lambda r: (x + i + (y + up * r) * GRID_X).cast("int"))
+        parts = {"cell": (x + y * GRID_X).cast("int"), "step": step, "wide": wide.cast("int"), "high": high, "rise": 40 * high, "leave": 20 * high + 18 * wide, "row": F.greatest(40 * wide, F.lit(1))}
+        return F.struct(*(c.alias(n) for n, c in parts.items()))
+
+    def cells(w: Column) -> Column:
+        def column(i: Column) -> Column:
+            first = F.greatest(F.ceil(((i * w["rise"]) - w["leave"]) / w["row"]), F.lit(0)).cast("int")
+            last = F.least(F.floor(((i * w["rise"]) + w["leave"]) / w["row"]), w["high"]).cast("int")
+            start = w["cell"] + i
+            # a flat line passes a corner for several columns
+            return _bound(first, lambda f: F.sequence(start + w["step"] * f, start + w["step"] * F.greatest(f, last), w["step"]))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), w["wide"]), column))
 
     known = lon1.isNotNull() & lat1.isNotNull() & lon2.isNotNull() & lat2.isNotNull()
-    return F.when(known, F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), wide), column)))
+    return F.when(known, _bound(_bound(ends, way), cells))

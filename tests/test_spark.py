@@ -204,6 +204,12 @@ def test_cells_on_way(spark):
         assert back[k] == (got[k] if a < c else got[k][::-1])
 
 
+def test_cells_on_way_compute_positions_once(spark):
+    df = spark.createDataFrame([(-74.0, 40.7, -73.8, 40.9)], "a double, b double, c double, d double")
+    plan = df.select(geo.cells_on_way(*map(F.col, "abcd")).alias("cells"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count(str(geo.DELTA_LON)) == 2 and plan.count(str(geo.DELTA_LAT)) == 2  # not for each cell
+
+
 @pytest.fixture(scope="module")
 def beyond(spark, tmp_path_factory):
     """Events of which some have values outside the declared domain; they come second or later in their group."""
