@@ -14,6 +14,7 @@ its own, and returns verified pairs only, so nothing but these grows with the nu
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,9 @@ VOTES, SHARE = 3, 0.1
 #: Corners of the query that must fall on like ones, and their least share of those within the other image; and the least
 #: share of these in the corners of the image that has fewer.
 COVERED, COVER, WITHIN = 7, 0.65, 0.5
-#: Corners of stored images and of query images that a task holds, and that it compares at once, but for larger images.
-STORED, ASKED, BLOCK = 1 << 16, 1 << 16, 1 << 14
+#: Corners of stored images and of query images that a task holds, and of query images that it compares at once, but for
+#: larger images; pairs of images up to which matches are counted by pair first.
+STORED, ASKED, BLOCK, MOST_COUNTED = 1 << 17, 1 << 18, 1 << 14, 1 << 23
 _IMAGE = "id long, width int, height int, pixels binary"
 _CORNER = np.dtype([("level", "u1"), ("turn", "u1"), ("y", "<f4"), ("x", "<f4"), ("bits", "<u8", 2)])
 
@@ -181,42 +183,72 @@ def _distance(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.
     return np.bitwise_count(a[i, 0] ^ b[j, 0]) + np.bitwise_count(a[i, 1] ^ b[j, 1])
 
 
+class _Indexed(tuple):
+    """Pairs of corners with their tables, for several calls of _matches."""
+
+    tables: list | None = None
+
+
+def _tables(d: np.ndarray, pairs) -> list[tuple[np.ndarray, ...]]:
+    """Of each table the distinct keys in order, the place and number of each key's pairs, the pairs, and their words."""
+    di, dj, ds = pairs
+    bits = np.ascontiguousarray(d["bits"]).view(np.uint8).reshape(len(d), 16)
+    out = []
+    for table in range(TABLES):
+        keys = _key(*np.floor(ds).T, table, bits, di, dj)
+        order = np.argsort(keys, kind="stable")
+        keys, start, n = np.unique(keys[order], return_index=True, return_counts=True)
+        out.append((keys, start, n, order, [d["bits"][at[order], w] for at in (di, dj) for w in (0, 1)]))
+    return out
+
+
 def _matches(q: np.ndarray, q_pairs, d: np.ndarray, d_pairs, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the query's and the stored pairs that match: one key of a table, and both corners near."""
-    (qi, qj, qs), (di, dj, ds) = q_pairs, d_pairs
-    qb, db = q["bits"], d["bits"]
-    q8, d8 = (np.ascontiguousarray(b).view(np.uint8).reshape(len(b), 16) for b in (qb, db))
+    qi, qj, qs = q_pairs
+    size = len(d_pairs[0])
+    if not size or not len(qi):
+        return (np.zeros(0, np.int64),) * 2
+    q8 = np.ascontiguousarray(q["bits"]).view(np.uint8).reshape(len(q), 16)
+    words = [q["bits"][at, w] for at in (qi, qj) for w in (0, 1)]
     found = []
     low = np.floor(qs - 0.5)  # the query's pairs go to the two nearest bins of each kind
-    for table in range(TABLES):
-        keys = _key(*np.floor(ds).T, table, d8, di, dj)
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        for variant in range(8):
-            asked = _key(*(low + [variant >> 2, variant >> 1 & 1, variant & 1]).T, table, q8, qi, qj)
-            start = np.searchsorted(keys, asked, "left")
-            n = np.searchsorted(keys, asked, "right") - start
-            total = np.cumsum(n)
-            at = 0
-            while at < len(n):  # runs of query pairs with a bounded number of candidates, or one pair with more
-                end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + step, "right")))
-                m = n[at:end]
-                a = np.repeat(np.arange(at, end), m)
-                b = order[np.repeat(start[at:end] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
-                good = _distance(qb, qi[a], db, di[b]) <= NEAR
+    for table, (keys, start, n, order, stored) in enumerate(getattr(d_pairs, "tables", None) or _tables(d, d_pairs)):
+        asked = np.concatenate([_key(*(low + [v >> 2, v >> 1 & 1, v & 1]).T, table, q8, qi, qj) for v in range(8)])
+        by = np.argsort(asked)
+        asked = asked[by]
+        place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        hit = np.flatnonzero(keys[place] == asked)
+        pair, place = by[hit] % len(qi), place[hit]
+        first, m = start[place], n[place]
+        total = np.cumsum(m)
+        at = 0
+        while at < len(m):  # runs of query pairs with a bounded number of candidates, or one pair with more
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + step, "right")))
+            k = m[at:end]
+            a = np.repeat(pair[at:end], k)
+            b = np.repeat(first[at:end] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            for w in (0, 2):  # a corner's first word alone rules out most
+                far = np.bitwise_count(words[w][a] ^ stored[w][b])
+                good = np.flatnonzero(far <= NEAR)
+                a, b, far = a[good], b[good], far[good]
+                good = np.flatnonzero(far + np.bitwise_count(words[w + 1][a] ^ stored[w + 1][b]) <= NEAR)
                 a, b = a[good], b[good]
-                good = _distance(qb, qj[a], db, dj[b]) <= NEAR
-                found.append(a[good] * len(di) + b[good])
-                at = end
-    return np.divmod(np.unique(np.concatenate(found)), len(di)) if len(di) and found else (np.zeros(0, np.int64),) * 2
+            found.append(a * size + order[b])
+            at = end
+    return np.divmod(_unique(np.concatenate(found)), size) if found else (np.zeros(0, np.int64),) * 2
+
 
+def _unique(x: np.ndarray) -> np.ndarray:
+    """Distinct whole numbers in order."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
 
-def _distinct(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, and of each the number of distinct values."""
-    order = np.lexsort((value, key))
-    k, v = key[order], value[order]
-    new = np.append(True, (k[1:] != k[:-1]) | (v[1:] != v[:-1]))[: len(k)]
-    return np.unique(k[new], return_counts=True)
+
+def _distinct(key: np.ndarray, value: np.ndarray, values: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and of each the number of distinct values, which are below ``values``."""
+    key = _unique(key * values + value) // values
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    return key[first], np.diff(first, append=len(key))
 
 
 def _needed(a, b):
@@ -224,10 +256,14 @@ def _needed(a, b):
     return np.maximum(VOTES, np.ceil(SHARE * np.minimum(a, b)))
 
 
-def copies(q: np.ndarray, q_owner: np.ndarray, d: np.ndarray, d_owner: np.ndarray, block: int = BLOCK) -> list[tuple[int, int, int]]:
+def copies(q: np.ndarray, q_owner: np.ndarray, d: np.ndarray, d_owner: np.ndarray, block: int = BLOCK, stored: int = STORED) -> list[tuple[int, int, int]]:
     """(query, stored, votes) of all copies among the images whose numbers, in ascending order, the owners are."""
-    queries, stored = list(_blocks(q, q_owner, block)), list(_blocks(d, d_owner, block))
-    return [(a + x, b + y, v) for x, *one in queries for y, *two in stored for a, b, v in _copies(*one, *two)]
+    queries, out = list(_blocks(q, q_owner, block)), []
+    for y, d1, o1, pairs in _blocks(d, d_owner, stored):
+        pairs = _Indexed(pairs)
+        pairs.tables = _tables(d1, pairs)
+        out += [(a + x, b + y, v) for x, *one in queries for a, b, v in _copies(*one, d1, o1, pairs)]
+    return out
 
 
 def _blocks(corners: np.ndarray, owner: np.ndarray, size: int) -> Iterator[tuple]:
@@ -246,18 +282,22 @@ def _copies(q: np.ndarray, q_owner: np.ndarray, q_pairs: tuple, d: np.ndarray, d
     a, b = _matches(q, q_pairs, d, d_pairs)
     (qi, qj), (di, dj) = ((p[0][n], p[1][n]) for p, n in ((q_pairs, a), (d_pairs, b)))
     zq, zd = (c["x"].astype(np.float64) + 1j * c["y"] for c in (q, d))
-    factor = (zd[dj] - zd[di]) / (zq[qj] - zq[qi])  # a similarity as z -> factor * z + shift
     n_q, n_d = np.bincount(q_owner), np.bincount(d_owner)
     pair = q_owner[qi].astype(np.int64) * len(n_d) + d_owner[di]
+    if len(n_q) * len(n_d) <= MOST_COUNTED:  # most pairs of images have too few matches for any transform
+        enough = np.bincount(pair, minlength=len(n_q) * len(n_d)).reshape(len(n_q), -1) >= _needed(n_q[:, None], n_d)
+        kept = np.flatnonzero(enough.ravel()[pair])
+        qi, qj, di, dj, pair = (x[kept] for x in (qi, qj, di, dj, pair))
+    factor = (zd[dj] - zd[di]) / (zq[qj] - zq[qi])  # a similarity as z -> factor * z + shift
     # pairs of images go on if enough corners agree on turn and scale, in one of the bins that are near
     scale, turn = np.log2(np.abs(factor)) * 2, np.angle(factor) * TURNS / (2 * np.pi)
     likely = []
     for ds in (0, 0.5):
         for dt in (0, 0.5):
-            key, votes = _distinct((pair * 64 + np.clip(np.floor(scale + ds) + 32, 0, 63).astype(np.int64)) * TURNS + np.floor(turn + dt).astype(np.int64) % TURNS, qi)
+            key, votes = _distinct((pair * 64 + np.clip(np.floor(scale + ds) + 32, 0, 63).astype(np.int64)) * TURNS + np.floor(turn + dt).astype(np.int64) % TURNS, qi, len(q))
             p = key // (64 * TURNS)
             likely.append(p[votes >= _needed(n_q[p // len(n_d)], n_d[p % len(n_d)])])
-    likely = np.unique(np.concatenate(likely))
+    likely = _unique(np.concatenate(likely))
     chosen = np.flatnonzero(np.isin(pair, likely))
     chosen = chosen[np.argsort(pair[chosen], kind="stable")]
     cuts = np.searchsorted(pair[chosen], np.append(likely, np.iinfo(np.int64).max))
@@ -267,28 +307,34 @@ def _copies(q: np.ndarray, q_owner: np.ndarray, q_pairs: tuple, d: np.ndarray, d
     for p, s, e in zip(likely.tolist(), cuts[:-1], cuts[1:], strict=True):
         one, two = divmod(p, len(n_d))
         m = chosen[s:e]
-        votes, f, shift = _agreement(zq[qi[m]], zd[di[m]], factor[m], qi[m], di[m])
-        if votes >= _needed(n_q[one], n_d[two]) and _covered(q[q_order[q_at[one] : q_at[one + 1]]], d[d_order[d_at[two] : d_at[two + 1]]], f, shift):
+        need = max(VOTES, math.ceil(SHARE * min(n_q[one], n_d[two])))
+        votes, f, shift = _agreement(zq[qi[m]], zd[di[m]], factor[m], qi[m], di[m], need)
+        if votes >= need and _covered(q[q_order[q_at[one] : q_at[one + 1]]], d[d_order[d_at[two] : d_at[two + 1]]], f, shift):
             out.append((one, two, int(votes)))
     return out
 
 
-def _agreement(zq, zd, factor, qi, di, most: int = 64) -> tuple[int, complex, complex]:
-    """Corners that agree on the best of the matches' transforms (of ``most`` spread over them), and that transform."""
-    best = (0, 1 + 0j, 0j)
-    for h in np.unique(np.linspace(0, len(zq) - 1, min(most, len(zq))).astype(np.int64)):
-        f = factor[h]
-        shift = zd[h] - f * zq[h]
-        size = abs(f) * np.abs(zq - zq[h])
-        other = factor / f
-        good = (np.abs(f * zq + shift - zd) <= 2.5 * max(1.0, abs(f)) + 0.12 * size) & (np.abs(np.log2(np.abs(other))) <= 0.4) & (np.abs(np.angle(other)) <= 0.35)
-        votes = min(len(np.unique(qi[good])), len(np.unique(di[good])))
-        if votes > best[0]:
-            x, y = zq[good], zd[good]
-            u, v = x - x.mean(), y - y.mean()
-            fit = (v * u.conj()).sum() / max((np.abs(u) ** 2).sum(), 1e-9)  # least squares
-            best = (votes, fit, y.mean() - fit * x.mean())
-    return best
+def _agreement(zq, zd, factor, qi, di, need: int = 1, most: int = 64) -> tuple[int, complex, complex]:
+    """Corners that agree on the best of the matches' transforms (of ``most`` spread over them), and that transform; no
+    transform with fewer than ``need``."""
+    at = np.unique(np.linspace(0, len(zq) - 1, most).astype(np.int64)) if len(zq) > most else np.arange(len(zq))
+    f = factor[at][:, None]
+    grown = np.abs(f)
+    shift = zd[at][:, None] - f * zq[at][:, None]
+    good = np.abs(f * zq + shift - zd) <= 2.5 * np.maximum(1.0, grown) + 0.12 * grown * np.abs(zq - zq[at][:, None])
+    other = factor / f
+    good &= (np.abs(np.log2(np.abs(other))) <= 0.4) & (np.abs(np.angle(other)) <= 0.35)
+    best, votes = None, need - 1
+    for h in np.flatnonzero(good.sum(axis=1) >= need).tolist():
+        g = good[h]
+        if g.sum() > votes and (n := min(len(set(qi[g].tolist())), len(set(di[g].tolist())))) > votes:
+            best, votes = g, n
+    if best is None:
+        return 0, 1 + 0j, 0j
+    x, y = zq[best], zd[best]
+    u, v = x - x.mean(), y - y.mean()
+    fit = (v * u.conj()).sum() / max((np.abs(u) ** 2).sum(), 1e-9)  # least squares
+    return votes, fit, y.mean() - fit * x.mean()
 
 
 def _covered(q: np.ndarray, d: np.ndarray, factor: complex, shift: complex) -> bool:
@@ -340,7 +386,9 @@ def find_copies(queries: DataFrame, images: DataFrame, stored: int = STORED, ask
         cols = [[ids[0][a] for a, _, _ in found], [ids[1][b] for _, b, _ in found], [v for *_, v in found]]
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "class_id", "votes"])
 
-    cells = side(table, "g", g, "h", h).groupBy("g", "h").cogroup(side(wanted, "h", h, "g", g).groupBy("g", "h"))
+    # cells are few and heavy, so they are dealt over more partitions than there are cells
+    left, right = (side(d, *of).repartition(4 * g * h, "g", "h") for d, of in ((table, ("g", g, "h", h)), (wanted, ("h", h, "g", g))))
+    cells = left.groupBy("g", "h").cogroup(right.groupBy("g", "h"))
     out = save(cells.applyInArrow(run, "query_id long, class_id long, votes long"), "copies")
     drop(table, wanted)
     return out

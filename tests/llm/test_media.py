@@ -70,6 +70,26 @@ def test_tables_find_what_comparing_all_pairs_finds(monkeypatch):
     assert len(slow) >= 20 and len(fast & slow) >= 0.9 * len(slow)
 
 
+def test_tables_of_stored_images_are_built_once_for_all_blocks_of_queries(monkeypatch):
+    r, images = np.random.default_rng(8), drawings(40, 9)
+    q, d = corners([noisy(x, r) for x in images]), corners(images)
+    whole, built, build = media.copies(*q, *d), [], media._key
+    monkeypatch.setattr(media, "_key", lambda *a: built.append(len(a[4])) or build(*a))
+    assert sorted(media.copies(*q, *d, block=300)) == sorted(whole) and len(whole) >= 36
+    assert built.count(len(d[0])) == media.TABLES
+
+
+def test_agreement_holds_each_transform_against_all_matches():
+    r = np.random.default_rng(1)
+    zq = r.normal(size=(200, 2)) @ np.array([30, 30j])
+    f, shift = 1.2 * np.exp(0.3j), 5 - 8j
+    zd = np.where(np.arange(200) % 4 == 0, f * zq + shift, r.normal(size=(200, 2)) @ np.array([30, 30j]))
+    factor = np.where(np.arange(200) % 4 == 0, f, np.exp(r.normal(size=200) + 1j * r.uniform(-3, 3, 200)))
+    votes, factor_, shift_ = media._agreement(zq, zd, factor, np.arange(200), np.arange(200) % 190, 3)
+    assert votes >= 45 and abs(factor_ - f) < 0.05 and abs(shift_ - shift) < 2
+    assert media._agreement(zq, zd, factor, np.arange(200), np.arange(200) % 190, 150)[0] == 0
+
+
 def test_edited_copies_are_found_and_others_left(spark):
     r = np.random.default_rng(2)
     vectors = [(i, r.normal(size=8).tolist()) for i in range(80)]
