@@ -26,8 +26,9 @@ from .shingles import class_key, shingle_sets, text_slices
 THRESHOLD = 75
 #: Vertical fragments of the overlap count.
 FRAGMENTS = 4
-#: Fragments of the n-gram order for each shuffle partition; a task holds one at a time, and several even out.
-PIECES = 4
+#: Fragments of the n-gram order for each shuffle partition; a task holds one at a time, and several even out. A class's
+#: key is written once for each fragment that has n-grams of it, so many fragments make much to shuffle.
+PIECES = 2
 #: Smallest hashes by which sets first find one to link to.
 SIGNATURES = 3
 #: Comparisons of sketches for each entry of the index up to which all that is left is compared at once.
@@ -60,6 +61,17 @@ def set_keys(docs: DataFrame) -> DataFrame:
 _CELLS = pa.schema([("frag", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """An array's lowest bytes, then the next ones, and so on: bytes that are mostly equal lie together, for compression."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+
+
+def _unplaned(column, kind: str) -> np.ndarray:
+    """The arrays of a column of _planes(), one after the other."""
+    parts = [np.frombuffer(x, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T.reshape(-1) for x in column.to_pylist()]
+    return np.concatenate(parts).view(kind) if parts else np.zeros(0, dtype=kind)
+
+
 def _fragments(docs: DataFrame, fragments: int, flush: int = 1 << 19) -> DataFrame:
     """Rows (frag, keys, counts, low, high): for a run of documents, the part of their sets in a fragment.
 
@@ -71,6 +83,8 @@ def _fragments(docs: DataFrame, fragments: int, flush: int = 1 << 19) -> DataFra
         keys, sets, size = [], [], 0
 
         def out() -> pa.RecordBatch:
+            by = np.argsort(np.array(keys, dtype=np.int64)).tolist()
+            keys[:], sets[:] = [keys[i] for i in by], [sets[i] for i in by]
             h = np.concatenate(sets)
             doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             frag = ((h >> np.uint64(40)) * np.uint64(fragments) >> np.uint64(24)).astype(np.uint16)
@@ -79,12 +93,15 @@ def _fragments(docs: DataFrame, fragments: int, flush: int = 1 << 19) -> DataFra
             cell = np.flatnonzero(np.diff(frag.astype(np.int64) * len(sets) + doc, prepend=-1))
             count = np.diff(cell, append=len(doc)).astype("<u4")
             k = np.array(keys, dtype="<i8")[doc[cell]]
+            steps = np.diff(k, prepend=0)  # of ascending keys, which wrap around
             low, high = (h & np.uint64(0xFFFFFFFF)).astype("<u4"), (h >> np.uint64(32)).astype(np.uint8)
             used, first = np.unique(frag, return_index=True)
             ends = np.append(first[1:], len(frag))
             c0, c1 = np.searchsorted(cell, first), np.searchsorted(cell, ends)
             rows = [pa.array(used.astype(np.int32))]
-            rows += [pa.array([a[s:e].tobytes() for s, e in zip(x, y, strict=True)], pa.binary()) for a, x, y in ((k, c0, c1), (count, c0, c1), (low, first, ends), (high, first, ends))]
+            steps[c0] = k[c0]
+            rows += [pa.array([_planes(a[s:e]) for s, e in zip(c0, c1, strict=True)], pa.binary()) for a in (steps, count)]
+            rows += [pa.array([a[s:e].tobytes() for s, e in zip(first, ends, strict=True)], pa.binary()) for a in (low, high)]
             return pa.RecordBatch.from_arrays(rows, schema=_CELLS)
 
         for _, got in _text_sets(batches, 0):
@@ -118,7 +135,8 @@ def _shared(cells: DataFrame, buckets: int) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         frag = t["frag"][0].as_py()
-        key = np.repeat(_joined(t["keys"], "<i8"), _joined(t["counts"], "<u4"))
+        keys = [np.cumsum(_unplaned(pa.array([x]), "<i8")) for x in t["keys"].to_pylist()]
+        key = np.repeat(np.concatenate(keys), _unplaned(t["counts"], "<u4"))
         h = _joined(t["low"], "<u4").astype(np.int64) | (_joined(t["high"], np.uint8).astype(np.int64) << 32)
         order = np.argsort(h)
         h, key = h[order], key[order]
@@ -136,10 +154,10 @@ def _shared(cells: DataFrame, buckets: int) -> DataFrame:
         h, key, often = h[df > 1], key[df > 1], often[df > 1]
         ids = (often << 56) | (frag << 40) | h
         bucket = key % buckets
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((key, bucket))
         used, at = np.unique(bucket[order], return_index=True)
         ends = np.append(at, len(order))[1:]
-        return pa.table([pa.array(used.astype(np.int64))] + [pa.array([a[order][s:e].tobytes() for s, e in zip(at, ends, strict=True)], pa.binary()) for a in (key, ids)], schema=_SHARED)
+        return pa.table([pa.array(used.astype(np.int64))] + [pa.array([_planes(a[order[s:e]]) for s, e in zip(at, ends, strict=True)], pa.binary()) for a in (key, ids)], schema=_SHARED)
 
     return cells.groupBy("frag").applyInArrow(run, "bucket long, keys binary, ids binary")
 
@@ -151,7 +169,7 @@ def shared_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
     classes = keys.where("n > 0").groupBy("key").agg(F.first("n").alias("n")).withColumn("bucket", F.pmod("key", F.lit(n)))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        key, ids = _joined(left["keys"], "<i8"), _joined(left["ids"], "<i8")
+        key, ids = _unplaned(left["keys"], "<i8"), _unplaned(left["ids"], "<i8")
         order = np.lexsort((ids, key))
         key, ids = key[order], ids[order]
         used, at = np.unique(key, return_index=True)

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from hushframe.llm import ngram_join
@@ -108,3 +110,15 @@ def test_components(spark):
 def test_one_of_each_group_stays(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "x y z"), (4, None)], "doc_id long, text string")
     assert sorted(r.doc_id for r in ngram_join.keep_representatives(docs).collect()) == [1, 3, 4]
+
+
+def test_rows_of_fragments_are_small(spark):
+    r = np.random.default_rng(5)
+    texts = [(" ".join(f"w{x}" for x in r.integers(0, 5000, 300)),) for _ in range(200)]
+    found = ngram_join._fragments(spark.createDataFrame(texts, "text string").coalesce(1), 8).toArrow()
+    size = sum(len(pa.compress(x, codec="lz4_raw", asbytes=True)) for c in ("keys", "counts") for x in found[c].to_pylist())
+    assert size < 9.5 * 8 * len(texts)  # a key and a count for each fragment and text
+    key = [np.cumsum(ngram_join._unplaned(pa.array([x]), "<i8")) for x in found["keys"].to_pylist()]
+    want = {ngram_join.class_key(s) for s in ngram_join.shingle_sets([t for t, in texts])}
+    assert all(set(k.tolist()) == want for k in key)
+    assert ngram_join._unplaned(found["counts"], "<u4").sum() == 200 * 296
