@@ -25,6 +25,8 @@ from .tokenization import encoder
 
 SEQUENCE = 2048
 SAND_EVERY = 10
+#: Bytes of text that are encoded at once, and pieces of chunks in a generation of the encoder's cache.
+AT_ONCE, CACHED = 1 << 21, 200_000
 _PIECES = "doc_id long, part int, row long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -38,16 +40,17 @@ def cut(n: int, size: int, sand: bool) -> list[int]:
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, size: int = SEQUENCE, sand_every: int = SAND_EVERY, added: bool = False) -> DataFrame:
     """Rows of _PIECES for whole texts of (doc_id, text): ids of each document with the end id, cut and digested.
 
-    ``part`` and ``row`` number the pieces of a task. ``added`` as in ChunkEncoder.
+    ``part`` and ``row`` number the pieces of a task. ``added`` as in ChunkEncoder. A task encodes AT_ONCE bytes of text at a
+    time (or one longer text) and leaves no cached pieces in its worker.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, row, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path, added=added)
+        part, row, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path, CACHED, added)
         end = np.array([end_id] if end_id is not None else [], dtype=f"<u{enc.width}").tobytes()
         for b in batches:
-            for x in text_slices(b, 1, 4096, 1 << 23):
+            for x in text_slices(b, 1, 4096, AT_ONCE):
                 out = []
                 for d, ids in zip(x.column(0).to_pylist(), enc.encode(x.column(1).to_pylist()), strict=True):
                     raw = np.frombuffer(ids + end, dtype=f"<u{enc.width}").astype("<u4").tobytes()
@@ -59,6 +62,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, size: i
                 rows = np.arange(row, row + len(out))
                 row += len(out)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array([part] * len(out), pa.int32()), pa.array(rows, pa.int64()), *(pa.array(c, pa.int64()) for c in (start, length, crc, total))], names=["doc_id", "part", "row", "start", "length", "ids_crc32", "doc_tokens"])
+        enc.forget()  # workers outlive their task, and later stages need the memory
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PIECES)
 

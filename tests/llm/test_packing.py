@@ -4,11 +4,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from hushframe.llm import packing
+from hushframe.llm import packing, tokenization
 
 
 @settings(max_examples=200, deadline=None)
@@ -77,3 +78,25 @@ def test_pieces_and_sequences(spark):
     n, total = check(rows, packing.pack(docs, P.path("word_bpe_49k.json")).collect())
     assert total / (n * 2048) > 0.98
     assert packing.pack(docs.limit(0), P.path("word_bpe_49k.json")).count() == 0
+
+
+def test_a_task_encodes_little_at_once_and_leaves_no_cache(spark, monkeypatch):
+    class Rows:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr("pyspark.TaskContext", Task)
+    path, r, sizes = P.path("word_bpe_49k.json"), random.Random(3), []
+    enc = tokenization.encoder(path, added=True)
+    encode = enc.encode
+    monkeypatch.setattr(enc, "encode", lambda texts: sizes.append([len(t) for t in texts]) or encode(texts))
+    texts = ["".join(r.choices("abcdefgh ", k=1500)) * 40 for _ in range(120)] + ["long " * 600_000]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    rows = pa.Table.from_batches(packing.pieces(Rows(), path, added=True)([batch]))
+    assert sum(map(len, sizes)) == len(texts) and all(len(s) == 1 or sum(s) <= 1 << 21 for s in sizes)
+    assert not enc.pieces and not enc.pieces._before
+    assert set(rows["doc_id"].to_pylist()) == set(range(len(texts)))
