@@ -5,7 +5,9 @@ orientation and 128 binary tests of the smoothed image around it, turned by that
 place is brighter than another by more than a share of the contrast there, so that noise on plain areas decides nothing.
 Neighbouring corners form pairs. Pairs meet in Hamming tables by parts of both descriptors and by how the corners lie to
 each other, which neither shift, turn nor scale changes. Each match of pairs gives a similarity transform; images are
-copies where enough corners agree on one and the transform brings most of the query's corners onto like ones.
+copies where enough corners agree on one, the transform brings most of the query's corners onto like ones, and the pixels
+of both, a third as large, correlate under it. Corners alone take unlike images of few or repeated shapes for copies at a
+fixed rate a pair of images; their pixels tell them apart.
 
 Query images are held against all others in blocks: a task has a bounded number of corners of both, builds the tables of
 its own, and returns verified pairs only, so nothing but these grows with the number of look-alike corners.
@@ -15,14 +17,14 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, read_table, save
+from .common import drop, read_table, release, save
 
 #: Scales are powers of STEP, as far as an image has room for a patch.
 STEP, LEVELS = 2**0.5, 8
@@ -40,6 +42,8 @@ VOTES, SHARE = 3, 0.1
 #: Corners of the query that must fall on like ones, and their least share of those within the other image; and the least
 #: share of these in the corners of the image that has fewer.
 COVERED, COVER, WITHIN = 7, 0.65, 0.5
+#: By how much the sides of an image are reduced for the comparison of pixels, and the least correlation of copies.
+REDUCED, ALIKE = 3, 0.9
 #: Corners of stored images and of query images that a task holds, and of query images that it compares at once, but for
 #: larger images; pairs of images up to which matches are counted by pair first.
 STORED, ASKED, BLOCK, MOST_COUNTED = 1 << 17, 1 << 18, 1 << 14, 1 << 23
@@ -129,8 +133,50 @@ def pixels(width: int | None, height: int | None, data: bytes | None) -> np.ndar
     return np.frombuffer(data, dtype=np.uint8).reshape(height, width).astype(np.float64)
 
 
+def _sides(height: int, width: int) -> tuple[int, int]:
+    return max(1, round(height / REDUCED)), max(1, round(width / REDUCED))
+
+
+def reduced(image: np.ndarray) -> np.ndarray:
+    """The image with its sides divided by REDUCED."""
+    h, w = _sides(*image.shape)
+    return np.clip(np.rint(_shrink(_shrink(image, h, 0), w, 1)), 0, 255).astype(np.uint8)
+
+
+def correlation(a: np.ndarray, a_sides: tuple[int, int], b: np.ndarray, b_sides: tuple[int, int], factor: complex, shift: complex) -> float:
+    """The correlation of a reduced image with another, where the transform brings it within that; 0 if either is plain.
+
+    The transform is one of places in the images as they were, whose (height, width) are the sides.
+    """
+    y, x = (np.arange(n) + 0.5 for n in a.shape)
+    to = factor * (x * (a_sides[1] / a.shape[1]) + 1j * (y * (a_sides[0] / a.shape[0]))[:, None]) + shift
+    u, v = to.imag * (b.shape[0] / b_sides[0]) - 0.5, to.real * (b.shape[1] / b_sides[1]) - 0.5
+    inside = (u >= -0.5) & (u <= b.shape[0] - 0.5) & (v >= -0.5) & (v <= b.shape[1] - 0.5)
+    if min(b.shape) < 2 or not inside.any():
+        return 0.0
+    u, v = np.clip(u[inside], 0, b.shape[0] - 1.001), np.clip(v[inside], 0, b.shape[1] - 1.001)
+    i, j = u.astype(np.int64), v.astype(np.int64)
+    r, c = u - i, v - j
+    one = a[inside].astype(np.float64)
+    two = (b[i, j] * (1 - c) + b[i, j + 1] * c) * (1 - r) + (b[i + 1, j] * (1 - c) + b[i + 1, j + 1] * c) * r
+    one, two = one - one.mean(), two - two.mean()
+    return float((one * two).sum() / max(np.sqrt((one**2).sum() * (two**2).sum()), 1e-9))
+
+
+def alike(queries: list[tuple[int, int, bytes]], stored: list[tuple[int, int, bytes]]) -> Callable[[int, int, complex, complex], bool]:
+    """Whether images of these numbers correlate under a transform; images as (height, width, reduced pixels)."""
+
+    def test(one: int, two: int, factor: complex, shift: complex) -> bool:
+        (h, w, x), (k, m, y) = queries[one], stored[two]
+        a, b = np.frombuffer(x, np.uint8).reshape(_sides(h, w)), np.frombuffer(y, np.uint8).reshape(_sides(k, m))
+        return correlation(a, (h, w), b, (k, m), factor, shift) >= ALIKE
+
+    return test
+
+
 def descriptors(images: DataFrame) -> DataFrame:
-    """(id, n, corners): the corners of each image, one row an id; images that can't be read or have none are left out."""
+    """(id, n, corners, width, height, small): the corners of each image and the image reduced, one row an id; images that
+    can't be read or have no corners are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,12 +186,13 @@ def descriptors(images: DataFrame) -> DataFrame:
                     x = pixels(w, h, data)
                     found = describe(x) if x is not None and i is not None else ()
                     if len(found):
-                        rows.append((i, len(found), found.tobytes()))
-                cols = list(zip(*rows, strict=True)) or [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["id", "n", "corners"])
+                        rows.append((i, len(found), found.tobytes(), w, h, reduced(x).tobytes()))
+                cols = list(zip(*rows, strict=True)) or [()] * 6
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "n", "corners", "width", "height", "small"])
 
-    found = images.select("id", "width", "height", "pixels").mapInArrow(run, "id long, n int, corners binary")
-    return found.groupBy("id").agg(F.min(F.struct("n", "corners")).alias("c")).select("id", "c.*")
+    found = images.select("id", "width", "height", "pixels").mapInArrow(run, "id long, n int, corners binary, width int, height int, small binary")
+    return found.groupBy("id").agg(F.min(F.struct("n", "corners", "width", "height", "small")).alias("c")).select("id", "c.*")
 
 
 def corner_pairs(corners: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,13 +303,18 @@ def _needed(a, b):
     return np.maximum(VOTES, np.ceil(SHARE * np.minimum(a, b)))
 
 
-def copies(q: np.ndarray, q_owner: np.ndarray, d: np.ndarray, d_owner: np.ndarray, block: int = BLOCK, stored: int = STORED) -> list[tuple[int, int, int]]:
-    """(query, stored, votes) of all copies among the images whose numbers, in ascending order, the owners are."""
+def copies(q: np.ndarray, q_owner: np.ndarray, d: np.ndarray, d_owner: np.ndarray, block: int = BLOCK, stored: int = STORED, like: Callable[[int, int, complex, complex], bool] | None = None) -> list[tuple[int, int, int]]:
+    """(query, stored, votes) of all copies among the images whose numbers, in ascending order, the owners are.
+
+    ``like`` (see alike) decides on pairs of images whose corners agree on a transform; without it, their corners do.
+    """
     queries, out = list(_blocks(q, q_owner, block)), []
     for y, d1, o1, pairs in _blocks(d, d_owner, stored):
         pairs = _Indexed(pairs)
         pairs.tables = _tables(d1, pairs)
-        out += [(a + x, b + y, v) for x, *one in queries for a, b, v in _copies(*one, d1, o1, pairs)]
+        for x, *one in queries:
+            found = _copies(*one, d1, o1, pairs)
+            out += [(a + x, b + y, v) for a, b, v, *to in found if like is None or like(a + x, b + y, *to)]
     return out
 
 
@@ -278,7 +330,8 @@ def _blocks(corners: np.ndarray, owner: np.ndarray, size: int) -> Iterator[tuple
         start = end
 
 
-def _copies(q: np.ndarray, q_owner: np.ndarray, q_pairs: tuple, d: np.ndarray, d_owner: np.ndarray, d_pairs: tuple) -> list[tuple[int, int, int]]:
+def _copies(q: np.ndarray, q_owner: np.ndarray, q_pairs: tuple, d: np.ndarray, d_owner: np.ndarray, d_pairs: tuple) -> list[tuple]:
+    """(query, stored, votes, factor, shift) of images whose corners agree on a transform."""
     a, b = _matches(q, q_pairs, d, d_pairs)
     (qi, qj), (di, dj) = ((p[0][n], p[1][n]) for p, n in ((q_pairs, a), (d_pairs, b)))
     zq, zd = (c["x"].astype(np.float64) + 1j * c["y"] for c in (q, d))
@@ -298,22 +351,74 @@ def _copies(q: np.ndarray, q_owner: np.ndarray, q_pairs: tuple, d: np.ndarray, d
             p = key // (64 * TURNS)
             likely.append(p[votes >= _needed(n_q[p // len(n_d)], n_d[p % len(n_d)])])
     likely = _unique(np.concatenate(likely))
-    chosen = np.flatnonzero(np.isin(pair, likely))
+    if len(n_q) * len(n_d) <= MOST_COUNTED:
+        wanted = np.zeros(len(n_q) * len(n_d), dtype=bool)
+        wanted[likely] = True
+        chosen = np.flatnonzero(wanted[pair])
+    else:
+        chosen = np.flatnonzero(np.isin(pair, likely))
     chosen = chosen[np.argsort(pair[chosen], kind="stable")]
     cuts = np.searchsorted(pair[chosen], np.append(likely, np.iinfo(np.int64).max))
     q_order, d_order = np.argsort(q_owner, kind="stable"), np.argsort(d_owner, kind="stable")
     q_at, d_at = np.append(0, np.cumsum(n_q)), np.append(0, np.cumsum(n_d))
     out = []
-    for p, s, e in zip(likely.tolist(), cuts[:-1], cuts[1:], strict=True):
-        one, two = divmod(p, len(n_d))
-        m = chosen[s:e]
-        need = max(VOTES, math.ceil(SHARE * min(n_q[one], n_d[two])))
-        votes, f, shift = _agreement(zq[qi[m]], zd[di[m]], factor[m], qi[m], di[m], need)
-        if votes >= need and _covered(q[q_order[q_at[one] : q_at[one + 1]]], d[d_order[d_at[two] : d_at[two + 1]]], f, shift):
-            out.append((one, two, int(votes)))
+    one, two = np.divmod(likely, len(n_d))
+    need = _needed(n_q[one], n_d[two]).astype(np.int64)
+    votes, f, shift = _agreements(zq[qi[chosen]], zd[di[chosen]], factor[chosen], qi[chosen], di[chosen], cuts, need)
+    for p in np.flatnonzero(votes >= need).tolist():
+        x, y = one[p], two[p]
+        if _covered(q[q_order[q_at[x] : q_at[x + 1]]], d[d_order[d_at[y] : d_at[y + 1]]], f[p], shift[p]):
+            out.append((int(x), int(y), int(votes[p]), complex(f[p]), complex(shift[p])))
     return out
 
 
+def _agreements(zq, zd, factor, qi, di, cuts: np.ndarray, need: np.ndarray, most: int = 64, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_agreement for each run of matches between two cuts; runs of like length are taken together."""
+    size = np.diff(cuts)
+    votes, fit, move = np.zeros(len(size), np.int64), np.ones(len(size), np.complex128), np.zeros(len(size), np.complex128)
+    grown, turn = np.log2(np.abs(factor)), np.angle(factor)
+    order = np.argsort(size, kind="stable")
+    start, many = int(np.searchsorted(size[order], 1)), int(np.searchsorted(size[order], most, side="right"))
+    while start < many:
+        end = start + 1  # runs are in order of length, so the last one is the longest
+        while end < many and (end + 1 - start) * int(size[order[end]]) ** 2 <= step:
+            end = min(many, start + 2 * (end - start))
+            if (end - start) * int(size[order[end - 1]]) ** 2 > step:
+                end = start + max(1, (end - start) // 2)
+                break
+        runs = order[start:end]
+        start, m = end, int(size[order[end - 1]])
+        column = np.arange(m)
+        real = column < size[runs][:, None]
+        at = np.where(real, cuts[runs][:, None] + column, cuts[runs][:, None])
+        x, y, f, g, t = zq[at], zd[at], factor[at], grown[at], turn[at]
+        apart = x[:, None] - x[:, :, None]
+        much = np.abs(f)[:, :, None]
+        good = np.abs(f[:, :, None] * apart - (y[:, None] - y[:, :, None])) <= 2.5 * np.maximum(1.0, much) + 0.12 * much * np.abs(apart)
+        good &= np.abs(g[:, None] - g[:, :, None]) <= 0.4
+        good &= np.abs((t[:, None] - t[:, :, None] + np.pi) % (2 * np.pi) - np.pi) <= 0.35
+        good &= real[:, None] & real[:, :, None]
+        n = np.full(at.shape, most, np.int64)
+        for corner in (qi[at], di[at]):  # each distinct corner of a run is a bit
+            bit = np.uint64(1) << (corner[:, :, None] == corner[:, None]).argmax(axis=2).astype(np.uint64)
+            n = np.minimum(n, np.bitwise_count(np.bitwise_or.reduce(np.where(good, bit[:, None], np.uint64(0)), axis=2)))
+        best = n.argmax(axis=1)
+        own = np.arange(len(runs))
+        w = good[own, best]
+        found = n[own, best]
+        total = np.maximum(w.sum(axis=1), 1)
+        x_mean, y_mean = (x * w).sum(axis=1) / total, (y * w).sum(axis=1) / total
+        u, v = (x - x_mean[:, None]) * w, (y - y_mean[:, None]) * w
+        f = (v * u.conj()).sum(axis=1) / np.maximum((np.abs(u) ** 2).sum(axis=1), 1e-9)  # least squares
+        enough = found >= need[runs]
+        kept = runs[enough]
+        votes[kept], fit[kept], move[kept] = found[enough], f[enough], (y_mean - f * x_mean)[enough]
+    for p in order[many:].tolist():
+        m = slice(cuts[p], cuts[p + 1])
+        votes[p], fit[p], move[p] = _agreement(zq[m], zd[m], factor[m], qi[m], di[m], int(need[p]), most)
+    return votes, fit, move
+
+
 def _agreement(zq, zd, factor, qi, di, need: int = 1, most: int = 64) -> tuple[int, complex, complex]:
     """Corners that agree on the best of the matches' transforms (of ``most`` spread over them), and that transform; no
     transform with fewer than ``need``."""
@@ -369,6 +474,7 @@ def find_copies(queries: DataFrame, images: DataFrame, stored: int = STORED, ask
     named = classes(images).select(F.col("class_id").alias("id")).distinct()
     table = save(descriptors(images).join(named, "id", "left_semi"), "descriptors")
     wanted = save(descriptors(queries.where("id is not null")), "descriptors")
+    release(images.sparkSession)
     size = [d.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for d in (table, wanted)]
     g, h = -(-size[0] // stored) or 1, -(-size[1] // asked) or 1
 
@@ -381,7 +487,8 @@ def find_copies(queries: DataFrame, images: DataFrame, stored: int = STORED, ask
             corners = np.frombuffer(b"".join(t["corners"].to_pylist()), dtype=_CORNER)
             arrays.append((corners, np.repeat(np.arange(t.num_rows), t["n"].to_numpy())))
         (d, d_owner), (q, q_owner) = arrays
-        found = copies(q, q_owner, d, d_owner)
+        small = ([(h, w, x) for h, w, x in zip(*(t[k].to_pylist() for k in ("height", "width", "small")), strict=True)] for t in (right, left))
+        found = copies(q, q_owner, d, d_owner, like=alike(*small))
         ids = [t["id"].to_numpy() for t in (right, left)]
         cols = [[ids[0][a] for a, _, _ in found], [ids[1][b] for _, b, _ in found], [v for *_, v in found]]
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "class_id", "votes"])

@@ -127,3 +127,49 @@ def test_odd_images():
     assert len(found) > 500 and len(media.copies(found, np.zeros(len(found), int), found[:0], np.zeros(0, int))) == 0
     assert len(media.describe(np.random.default_rng(3).integers(0, 256, (900, 900)).astype(float))) > 10_000  # no bound but the area
     assert media.pixels(2, 2, b"abc") is None and media.pixels(None, 2, b"ab") is None and media.pixels(2, 1, b"ab").shape == (1, 2)
+
+
+def test_false_rows_do_not_grow_with_the_images():
+    images = drawings(560, 13)
+    asked = [media.edit(x, i).astype(float) for i, x in enumerate(images[:120])]
+    small = [[(*x.shape, media.reduced(x).tobytes()) for x in part] for part in (asked, images)]
+    of = corners(asked), corners(images)
+    loose = media.copies(*of[0], *of[1])
+    found = media.copies(*of[0], *of[1], like=media.alike(*small))
+    assert sum(a != b for a, b, _ in loose) >= 3 and all(a == b for a, b, _ in found)
+    assert {(a, b) for a, b, _ in found} == {(a, b) for a, b, _ in loose if a == b} and len(found) >= 114
+
+
+def test_find_copies_gives_no_false_rows(spark):
+    r = np.random.default_rng(14)
+    df = spark.createDataFrame([(i, r.normal(size=8).tolist()) for i in range(500)], "vec_id long, embedding array<double>").repartition(8)
+    got = [(x.query_id, x.class_id) for x in media.find_copies(media.embedding_images(df.where("vec_id < 120"), edited=True), media.embedding_images(df)).collect()]
+    assert all(a == b for a, b in got) and len(got) >= 114
+
+
+def test_correlation_under_a_transform():
+    image = drawings(1, 15, side=2)[0]
+    part = image[30:110, 20:120]
+    side = lambda x: (media.reduced(x), x.shape)
+    assert media.correlation(*side(part * 0.5 + 9), *side(image), 1, 20 + 30j) > 0.95
+    assert media.correlation(*side(media.warp(part, 0.7, 0)), *side(image), 1 / 0.7, 20 + 30j) > 0.95
+    assert media.correlation(*side(255 - part), *side(image), 1, 20 + 30j) < -0.9
+    assert media.correlation(*side(part), *side(image), 1, 400 + 400j) == 0 == media.correlation(*side(part * 0), *side(image), 1, 20 + 30j)
+
+
+def test_agreements_equal_agreement_run_by_run():
+    r = np.random.default_rng(16)
+    size = np.concatenate([r.integers(0, 90, 150), [0, 1, 64, 65, 200]])
+    cuts = np.append(0, np.cumsum(size))
+    zq, n = r.normal(size=(cuts[-1], 2)) @ np.array([30, 30j]), cuts[-1]
+    true = r.random(n) < 0.3
+    factor = np.where(true, 1.3 * np.exp(0.4j), np.exp(r.normal(size=n) / 3 + 1j * r.uniform(-3, 3, n)))
+    zd = np.where(true, 1.3 * np.exp(0.4j) * zq + 3 - 4j + r.normal(size=n), r.normal(size=(n, 2)) @ np.array([30, 30j]))
+    qi, di, need = r.integers(0, 40, n), r.integers(0, 40, n), r.integers(3, 9, len(size))
+    got = media._agreements(zq, zd, factor, qi, di, cuts, need)
+    small = media._agreements(zq, zd, factor, qi, di, cuts, need, step=1)
+    for p, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])):
+        want = media._agreement(zq[s:e], zd[s:e], factor[s:e], qi[s:e], di[s:e], int(need[p])) if e > s else (0, 1, 0)
+        for x in (got, small):
+            assert x[0][p] == want[0] and np.allclose([x[1][p], x[2][p]], want[1:])
+    assert 40 < (got[0] > 0).sum() < 150
