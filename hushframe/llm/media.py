@@ -313,8 +313,8 @@ def copies(q: np.ndarray, q_owner: np.ndarray, d: np.ndarray, d_owner: np.ndarra
         pairs = _Indexed(pairs)
         pairs.tables = _tables(d1, pairs)
         for x, *one in queries:
-            found = _copies(*one, d1, o1, pairs)
-            out += [(a + x, b + y, v) for a, b, v, *to in found if like is None or like(a + x, b + y, *to)]
+            test = like and (lambda a, b, *to, x=x, y=y: like(a + x, b + y, *to))
+            out += [(a + x, b + y, v) for a, b, v in _copies(*one, d1, o1, pairs, test)]
     return out
 
 
@@ -330,8 +330,7 @@ def _blocks(corners: np.ndarray, owner: np.ndarray, size: int) -> Iterator[tuple
         start = end
 
 
-def _copies(q: np.ndarray, q_owner: np.ndarray, q_pairs: tuple, d: np.ndarray, d_owner: np.ndarray, d_pairs: tuple) -> list[tuple]:
-    """(query, stored, votes, factor, shift) of images whose corners agree on a transform."""
+def _copies(q: np.ndarray, q_owner: np.ndarray, q_pairs: tuple, d: np.ndarray, d_owner: np.ndarray, d_pairs: tuple, like: Callable[[int, int, complex, complex], bool] | None) -> list[tuple[int, int, int]]:
     a, b = _matches(q, q_pairs, d, d_pairs)
     (qi, qj), (di, dj) = ((p[0][n], p[1][n]) for p, n in ((q_pairs, a), (d_pairs, b)))
     zq, zd = (c["x"].astype(np.float64) + 1j * c["y"] for c in (q, d))
@@ -367,8 +366,8 @@ def _copies(q: np.ndarray, q_owner: np.ndarray, q_pairs: tuple, d: np.ndarray, d
     votes, f, shift = _agreements(zq[qi[chosen]], zd[di[chosen]], factor[chosen], qi[chosen], di[chosen], cuts, need)
     for p in np.flatnonzero(votes >= need).tolist():
         x, y = one[p], two[p]
-        if _covered(q[q_order[q_at[x] : q_at[x + 1]]], d[d_order[d_at[y] : d_at[y + 1]]], f[p], shift[p]):
-            out.append((int(x), int(y), int(votes[p]), complex(f[p]), complex(shift[p])))
+        if (like is None or like(x, y, f[p], shift[p])) and _covered(q[q_order[q_at[x] : q_at[x + 1]]], d[d_order[d_at[y] : d_at[y + 1]]], f[p], shift[p]):
+            out.append((int(x), int(y), int(votes[p])))
     return out
 
 
