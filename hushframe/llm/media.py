@@ -3,8 +3,8 @@
 Images are grey: (width, height, pixels), a byte per pixel, row by row. Corners are found at several scales, each gets an
 orientation and 128 binary tests of the smoothed image around it, turned by that orientation; a test says whether one
 place is brighter than another by more than a share of the contrast there, so that noise on plain areas decides nothing.
-Neighbouring corners form pairs. Pairs meet in Hamming tables by parts of both descriptors and by how the corners lie to
-each other, which neither shift, turn nor scale changes. Each match of pairs gives a similarity transform; images are
+Neighbouring corners form pairs. Pairs meet in Hamming tables by parts of both descriptors, those tests that divide the
+stored corners best, and by how the corners lie to each other, which neither shift, turn nor scale changes. Each match of pairs gives a similarity transform; images are
 copies where enough corners agree on one, the transform brings most of the query's corners onto like ones, and the pixels
 of both, a third as large, correlate under it. Corners alone take unlike images of few or repeated shapes for copies at a
 fixed rate a pair of images; their pixels tell them apart.
@@ -33,17 +33,23 @@ RADIUS, BITS, ANGLES = 7, 128, 32
 APART = 2
 #: Tests count from this share of a patch's contrast on.
 MARGIN = 0.15
-#: Pairs of a corner with its nearest ones; bins of their direction, relative turn; tables, of a byte of both descriptors each.
-NEIGHBOURS, TURNS, TABLES = 3, 16, 4
+#: Pairs of a corner with its nearest ones; bins of their direction, relative turn; tables, and tests of both descriptors in each.
+NEIGHBOURS, TURNS, TABLES, WIDTH = 3, 16, 7, 5
+#: Corners from which the tests of the tables are chosen, and how much less a test counts for each table that has it.
+CHOSEN_FROM, REPEATED = 4096, 1.2
 #: Largest Hamming distance of a match, and of a corner onto which the transform brings another.
 NEAR, LIKE = 18, 24
+#: What a match's two distances and the difference of its shapes, squared and weighted, may come to together: no less than
+#: both distances may alone, if shapes are equal.
+JOINT, SHAPE = 2 * NEAR, 10
 #: Corners that must agree on a transform, and their least share of the corners of the image that has fewer.
-VOTES, SHARE = 3, 0.1
+VOTES, SHARE = 3, 0.07
 #: Corners of the query that must fall on like ones, and their least share of those within the other image; and the least
 #: share of these in the corners of the image that has fewer.
 COVERED, COVER, WITHIN = 7, 0.65, 0.5
-#: By how much the sides of an image are reduced for the comparison of pixels, and the least correlation of copies.
-REDUCED, ALIKE = 3, 0.9
+#: By how much the sides of an image are reduced for the comparison of pixels, and the least correlation of copies. From the
+#: second correlation on, a smaller share of corners on like ones will do.
+REDUCED, ALIKE, SURE, COVER_SURE = 3, 0.9, 0.97, 0.4
 #: Corners of stored images and of query images that a task holds, and of query images that it compares at once, but for
 #: larger images; pairs of images up to which matches are counted by pair first.
 STORED, ASKED, BLOCK, MOST_COUNTED = 1 << 17, 1 << 18, 1 << 14, 1 << 23
@@ -148,28 +154,48 @@ def correlation(a: np.ndarray, a_sides: tuple[int, int], b: np.ndarray, b_sides:
 
     The transform is one of places in the images as they were, whose (height, width) are the sides.
     """
-    y, x = (np.arange(n) + 0.5 for n in a.shape)
-    to = factor * (x * (a_sides[1] / a.shape[1]) + 1j * (y * (a_sides[0] / a.shape[0]))[:, None]) + shift
-    u, v = to.imag * (b.shape[0] / b_sides[0]) - 0.5, to.real * (b.shape[1] / b_sides[1]) - 0.5
-    inside = (u >= -0.5) & (u <= b.shape[0] - 0.5) & (v >= -0.5) & (v <= b.shape[1] - 0.5)
-    if min(b.shape) < 2 or not inside.any():
-        return 0.0
-    u, v = np.clip(u[inside], 0, b.shape[0] - 1.001), np.clip(v[inside], 0, b.shape[1] - 1.001)
+    return float(_correlations(a[None], a_sides, b[None], b_sides, np.array([factor]), np.array([shift]))[0])
+
+
+def _correlations(a: np.ndarray, a_sides: tuple[int, int], b: np.ndarray, b_sides: tuple[int, int], factor: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """The correlation of each pair of images a[p] and b[p] under its transform."""
+    (n, height, width), (h, w) = a.shape, b.shape[1:]
+    if min(h, w) < 2:
+        return np.zeros(n)
+    y, x = (np.arange(k) + 0.5 for k in (height, width))
+    at = (x * (a_sides[1] / width) + 1j * (y * (a_sides[0] / height))[:, None]).ravel()
+    to = factor[:, None] * at + shift[:, None]
+    u, v = to.imag * (h / b_sides[0]) - 0.5, to.real * (w / b_sides[1]) - 0.5
+    inside = (u >= -0.5) & (u <= h - 0.5) & (v >= -0.5) & (v <= w - 0.5)
+    u, v = np.clip(u, 0, h - 1.001), np.clip(v, 0, w - 1.001)
     i, j = u.astype(np.int64), v.astype(np.int64)
     r, c = u - i, v - j
-    one = a[inside].astype(np.float64)
-    two = (b[i, j] * (1 - c) + b[i, j + 1] * c) * (1 - r) + (b[i + 1, j] * (1 - c) + b[i + 1, j + 1] * c) * r
-    one, two = one - one.mean(), two - two.mean()
-    return float((one * two).sum() / max(np.sqrt((one**2).sum() * (two**2).sum()), 1e-9))
-
-
-def alike(queries: list[tuple[int, int, bytes]], stored: list[tuple[int, int, bytes]]) -> Callable[[int, int, complex, complex], bool]:
-    """Whether images of these numbers correlate under a transform; images as (height, width, reduced pixels)."""
-
-    def test(one: int, two: int, factor: complex, shift: complex) -> bool:
-        (h, w, x), (k, m, y) = queries[one], stored[two]
-        a, b = np.frombuffer(x, np.uint8).reshape(_sides(h, w)), np.frombuffer(y, np.uint8).reshape(_sides(k, m))
-        return correlation(a, (h, w), b, (k, m), factor, shift) >= ALIKE
+    flat = np.ascontiguousarray(b).ravel()
+    place = (np.arange(n) * (h * w))[:, None] + i * w + j
+    two = (flat[place] * (1 - c) + flat[place + 1] * c) * (1 - r) + (flat[place + w] * (1 - c) + flat[place + w + 1] * c) * r
+    one, many = a.reshape(n, -1).astype(np.float64), np.maximum(inside.sum(axis=1), 1)[:, None]
+    one, two = ((z - (z * inside).sum(axis=1, keepdims=True) / many) * inside for z in (one, two))
+    return (one * two).sum(axis=1) / np.maximum(np.sqrt((one**2).sum(axis=1) * (two**2).sum(axis=1)), 1e-9)
+
+
+def alike(queries: list[tuple[int, int, bytes]], stored: list[tuple[int, int, bytes]], step: int = 1 << 17) -> Callable[..., np.ndarray]:
+    """How images of these numbers correlate under transforms; images as (height, width, reduced pixels)."""
+    sides = [np.array([x[:2] for x in images], np.int64).reshape(-1, 2) for images in (queries, stored)]
+
+    def test(one: np.ndarray, two: np.ndarray, factor: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(one))
+        kinds, kind = np.unique(np.hstack([sides[0][one], sides[1][two]]), axis=0, return_inverse=True)
+        for k, (h, w, m, n) in enumerate(kinds.tolist()):  # images of the same sides are taken together
+            pairs = np.flatnonzero(kind.ravel() == k)
+            some = max(1, step // (_sides(h, w)[0] * _sides(h, w)[1] + _sides(m, n)[0] * _sides(m, n)[1]))
+            for s in range(0, len(pairs), some):
+                p = pairs[s : s + some]
+                a, b = (
+                    np.frombuffer(b"".join(images[x][2] for x in at[p].tolist()), np.uint8).reshape(len(p), *_sides(*of))
+                    for images, at, of in ((queries, one, (h, w)), (stored, two, (m, n)))
+                )
+                out[p] = _correlations(a, (h, w), b, (m, n), factor[p], shift[p])
+        return out
 
     return test
 
@@ -203,17 +229,18 @@ def corner_pairs(corners: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np
     order = np.argsort(group, kind="stable")
     cuts = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
     y, x, turn = corners["y"].astype(np.float64), corners["x"].astype(np.float64), corners["turn"] * (2 * np.pi / ANGLES)
-    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-        at = order[s:e]
-        if len(at) < 2:
-            continue
-        k = min(NEIGHBOURS, len(at) - 1)
-        for c in range(0, len(at), 2048):
-            own = at[c : c + 2048]
-            far = np.hypot(y[at][None] - y[own][:, None], x[at][None] - x[own][:, None])
-            far[np.arange(len(own)), c + np.arange(len(own))] = np.inf
-            firsts.append(np.repeat(own, k))
-            seconds.append(at[np.argsort(far, axis=1, kind="stable")[:, :k]].ravel())
+    start, size = cuts[:-1], np.diff(cuts)
+    for n in np.unique(size[size > 1]).tolist():  # groups of one size are taken together
+        k, same = min(NEIGHBOURS, n - 1), start[size == n]
+        many = max(1, (1 << 16) // n**2)
+        for s in range(0, len(same), many):
+            at = order[same[s : s + many, None] + np.arange(n)]
+            for c in range(0, n, 2048):
+                own = at[:, c : c + 2048]
+                far = np.hypot(y[at][:, None] - y[own][:, :, None], x[at][:, None] - x[own][:, :, None])
+                far[:, np.arange(own.shape[1]), c + np.arange(own.shape[1])] = np.inf
+                firsts.append(np.repeat(own, k))
+                seconds.append(np.take_along_axis(at[:, None], np.argsort(far, axis=2, kind="stable")[:, :, :k], axis=2).ravel())
     i, j = (np.concatenate(a) if a else np.zeros(0, dtype=np.int64) for a in (firsts, seconds))
     dy, dx = y[j] - y[i], x[j] - x[i]
     circle = TURNS / (2 * np.pi)
@@ -221,51 +248,102 @@ def corner_pairs(corners: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np
     return i, j, np.column_stack([(np.arctan2(dy, dx) - turn[i]) * circle % TURNS, (turn[j] - turn[i]) * circle % TURNS, distance])
 
 
-def _key(direction, turn, distance, table: int, bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    cell = ((direction % TURNS) * TURNS + turn % TURNS) * 64 + np.clip(distance, 0, 63)
-    return (cell.astype(np.int64) * TABLES + table) << 16 | bits[i, table].astype(np.int64) << 8 | bits[j, table]
+def _cell(direction: np.ndarray, turn: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    return (((direction % TURNS) * TURNS + turn % TURNS) * 64 + np.clip(distance, 0, 63)).astype(np.int64)
+
+
+def _key(cell: np.ndarray, i: np.ndarray, j: np.ndarray, table: int, words: np.ndarray) -> np.ndarray:
+    return cell << 2 * WIDTH | (words[i, table] << WIDTH | words[j, table])
+
+
+def _dividing(bits: np.ndarray) -> np.ndarray:
+    """(TABLES, WIDTH): tests for each table, one by one those that leave the fewest pairs of corners alike in all of them.
+
+    Tests differ in how many corners they hold for, and bins of the tables in size with that: the ones that hold for nearly
+    all or no corner divide nothing. The choice does not depend on the order of the corners.
+    """
+    mixed = (bits[:, 0] ^ bits[:, 1] >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+    some = np.ascontiguousarray(bits[np.argsort(mixed, kind="stable")[:CHOSEN_FROM]])
+    holds = np.unpackbits(some.view(np.uint8).reshape(len(some), BITS // 8), axis=1).astype(np.float32)
+    used, out = np.zeros(BITS), np.zeros((TABLES, WIDTH), np.int64)
+    for table in range(TABLES):
+        key = np.zeros(len(some), np.int64)
+        for k in range(WIDTH):
+            groups = np.zeros((1 << k, len(some)), np.float32)
+            groups[key, np.arange(len(some))] = 1
+            ones = (groups @ holds).astype(np.float64)
+            alike = (ones**2 + (groups.sum(axis=1, dtype=np.float64)[:, None] - ones) ** 2).sum(axis=0) * REPEATED**used
+            alike[out[table, :k]] = np.inf
+            out[table, k] = alike.argmin()
+            key = key * 2 + holds[:, out[table, k]].astype(np.int64)
+        used[out[table]] += 1
+    return out
+
+
+def _words(corners: np.ndarray, tests: np.ndarray) -> np.ndarray:
+    """(corners, TABLES): the outcomes of each table's tests."""
+    eight = np.ascontiguousarray(corners["bits"]).view(np.uint8).reshape(len(corners), BITS // 8)
+    out = np.zeros((len(corners), TABLES), np.int64)
+    for k in range(WIDTH):
+        out = out << 1 | eight[:, tests[:, k] >> 3] >> (7 - (tests[:, k] & 7)) & 1
+    return out
 
 
 def _distance(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a[i, 0] ^ b[j, 0]) + np.bitwise_count(a[i, 1] ^ b[j, 1])
 
 
+def _fine(shape: np.ndarray) -> list[np.ndarray]:
+    """Direction, turn and distance in parts of a bin, so that a circle has 256; pairs of one cell are less than half of that
+    apart in each."""
+    return [(np.rint(x * (256 / TURNS)).astype(np.int64) & 255).astype(np.uint8) for x in shape.T]
+
+
+#: Of each difference of these (as an unsigned byte) its weighted square.
+_SQUARES = (SHAPE * (np.arange(256, dtype=np.uint8).view(np.int8) * (TURNS / 256)) ** 2).astype(np.float32)
+
+
 class _Indexed(tuple):
-    """Pairs of corners with their tables, for several calls of _matches."""
+    """Pairs of corners with the tests of their tables and these, for several calls of _matches."""
 
-    tables: list | None = None
+    tables: tuple[np.ndarray, list] | None = None
 
 
-def _tables(d: np.ndarray, pairs) -> list[tuple[np.ndarray, ...]]:
-    """Of each table the distinct keys in order, the place and number of each key's pairs, the pairs, and their words."""
+def _tables(d: np.ndarray, pairs, tests: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """The tests, and of each table the distinct keys in order, the place and number of each key's pairs, the pairs,
+    and their words and shapes."""
     di, dj, ds = pairs
-    bits = np.ascontiguousarray(d["bits"]).view(np.uint8).reshape(len(d), 16)
+    words, cell, fine = _words(d, tests), _cell(*np.floor(ds).T), _fine(ds)
     out = []
     for table in range(TABLES):
-        keys = _key(*np.floor(ds).T, table, bits, di, dj)
+        keys = _key(cell, di, dj, table, words)
         order = np.argsort(keys, kind="stable")
         keys, start, n = np.unique(keys[order], return_index=True, return_counts=True)
-        out.append((keys, start, n, order, [d["bits"][at[order], w] for at in (di, dj) for w in (0, 1)]))
-    return out
+        out.append((keys, start, n, order.astype(np.int32), [d["bits"][at[order], w] for at in (di, dj) for w in (0, 1)], [x[order] for x in fine]))
+    return tests, out
 
 
-def _matches(q: np.ndarray, q_pairs, d: np.ndarray, d_pairs, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the query's and the stored pairs that match: one key of a table, and both corners near."""
+def _matches(q: np.ndarray, q_pairs, d: np.ndarray, d_pairs, step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the query's and the stored pairs that match: one key of a table, both corners near, and all differences
+    together not large."""
     qi, qj, qs = q_pairs
     size = len(d_pairs[0])
     if not size or not len(qi):
         return (np.zeros(0, np.int64),) * 2
-    q8 = np.ascontiguousarray(q["bits"]).view(np.uint8).reshape(len(q), 16)
+    tests, tables = getattr(d_pairs, "tables", None) or _tables(d, d_pairs, _dividing(d["bits"]))
+    q_words = _words(q, tests)
     words = [q["bits"][at, w] for at in (qi, qj) for w in (0, 1)]
+    shape = _fine(qs)
     found = []
     low = np.floor(qs - 0.5)  # the query's pairs go to the two nearest bins of each kind
-    for table, (keys, start, n, order, stored) in enumerate(getattr(d_pairs, "tables", None) or _tables(d, d_pairs)):
-        asked = np.concatenate([_key(*(low + [v >> 2, v >> 1 & 1, v & 1]).T, table, q8, qi, qj) for v in range(8)])
-        by = np.argsort(asked)
-        asked = asked[by]
+    cells = np.stack([_cell(*(low + [v >> 2, v >> 1 & 1, v & 1]).T) for v in range(8)])
+    bits = np.int64(len(qi)).item().bit_length()
+    for table, (keys, start, n, order, stored, of) in enumerate(tables):
+        asked = np.sort((_key(cells, qi, qj, table, q_words) << bits | np.arange(len(qi))).ravel())
+        pair, asked = asked & (1 << bits) - 1, asked >> bits
         place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
         hit = np.flatnonzero(keys[place] == asked)
-        pair, place = by[hit] % len(qi), place[hit]
+        pair, place = pair[hit], place[hit]
         first, m = start[place], n[place]
         total = np.cumsum(m)
         at = 0
@@ -274,13 +352,19 @@ def _matches(q: np.ndarray, q_pairs, d: np.ndarray, d_pairs, step: int = 1 << 18
             k = m[at:end]
             a = np.repeat(pair[at:end], k)
             b = np.repeat(first[at:end] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            both = np.zeros(len(a), np.uint8)
             for w in (0, 2):  # a corner's first word alone rules out most
                 far = np.bitwise_count(words[w][a] ^ stored[w][b])
                 good = np.flatnonzero(far <= NEAR)
-                a, b, far = a[good], b[good], far[good]
-                good = np.flatnonzero(far + np.bitwise_count(words[w + 1][a] ^ stored[w + 1][b]) <= NEAR)
-                a, b = a[good], b[good]
-            found.append(a * size + order[b])
+                a, b, both, far = a[good], b[good], both[good], far[good]
+                far += np.bitwise_count(words[w + 1][a] ^ stored[w + 1][b])
+                good = np.flatnonzero(far <= NEAR)
+                a, b, both = a[good], b[good], both[good] + far[good]
+            apart = both.astype(np.float32)
+            for one, two in zip(shape, of, strict=True):
+                apart += _SQUARES[one[a] - two[b]]
+            good = np.flatnonzero(apart <= JOINT)
+            found.append(a[good] * size + order[b[good]])
             at = end
     return np.divmod(_unique(np.concatenate(found)), size) if found else (np.zeros(0, np.int64),) * 2
 
@@ -303,15 +387,15 @@ def _needed(a, b):
     return np.maximum(VOTES, np.ceil(SHARE * np.minimum(a, b)))
 
 
-def copies(q: np.ndarray, q_owner: np.ndarray, d: np.ndarray, d_owner: np.ndarray, block: int = BLOCK, stored: int = STORED, like: Callable[[int, int, complex, complex], bool] | None = None) -> list[tuple[int, int, int]]:
+def copies(q: np.ndarray, q_owner: np.ndarray, d: np.ndarray, d_owner: np.ndarray, block: int = BLOCK, stored: int = STORED, like: Callable[..., np.ndarray] | None = None) -> list[tuple[int, int, int]]:
     """(query, stored, votes) of all copies among the images whose numbers, in ascending order, the owners are.
 
-    ``like`` (see alike) decides on pairs of images whose corners agree on a transform; without it, their corners do.
+    ``like`` (see alike) decides too on pairs of images whose corners agree on a transform; without it, their corners do.
     """
-    queries, out = list(_blocks(q, q_owner, block)), []
+    queries, out, tests = list(_blocks(q, q_owner, block)), [], _dividing(d["bits"])
     for y, d1, o1, pairs in _blocks(d, d_owner, stored):
         pairs = _Indexed(pairs)
-        pairs.tables = _tables(d1, pairs)
+        pairs.tables = _tables(d1, pairs, tests)
         for x, *one in queries:
             test = like and (lambda a, b, *to, x=x, y=y: like(a + x, b + y, *to))
             out += [(a + x, b + y, v) for a, b, v in _copies(*one, d1, o1, pairs, test)]
@@ -330,23 +414,24 @@ def _blocks(corners: np.ndarray, owner: np.ndarray, size: int) -> Iterator[tuple
         start = end
 
 
-def _copies(q: np.ndarray, q_owner: np.ndarray, q_pairs: tuple, d: np.ndarray, d_owner: np.ndarray, d_pairs: tuple, like: Callable[[int, int, complex, complex], bool] | None) -> list[tuple[int, int, int]]:
+def _copies(q: np.ndarray, q_owner: np.ndarray, q_pairs: tuple, d: np.ndarray, d_owner: np.ndarray, d_pairs: tuple, like: Callable[..., np.ndarray] | None) -> list[tuple[int, int, int]]:
     a, b = _matches(q, q_pairs, d, d_pairs)
-    (qi, qj), (di, dj) = ((p[0][n], p[1][n]) for p, n in ((q_pairs, a), (d_pairs, b)))
     zq, zd = (c["x"].astype(np.float64) + 1j * c["y"] for c in (q, d))
     n_q, n_d = np.bincount(q_owner), np.bincount(d_owner)
-    pair = q_owner[qi].astype(np.int64) * len(n_d) + d_owner[di]
+    pair = (q_owner[q_pairs[0]] * np.int64(len(n_d)))[a] + d_owner[d_pairs[0]][b]
     if len(n_q) * len(n_d) <= MOST_COUNTED:  # most pairs of images have too few matches for any transform
         enough = np.bincount(pair, minlength=len(n_q) * len(n_d)).reshape(len(n_q), -1) >= _needed(n_q[:, None], n_d)
         kept = np.flatnonzero(enough.ravel()[pair])
-        qi, qj, di, dj, pair = (x[kept] for x in (qi, qj, di, dj, pair))
+        a, b, pair = a[kept], b[kept], pair[kept]
+    (qi, qj), (di, dj) = ((p[0][n], p[1][n]) for p, n in ((q_pairs, a), (d_pairs, b)))
     factor = (zd[dj] - zd[di]) / (zq[qj] - zq[qi])  # a similarity as z -> factor * z + shift
-    # pairs of images go on if enough corners agree on turn and scale, in one of the bins that are near
+    # pairs of images go on if enough corners agree on turn and scale, in one of the bins that are near; an octave of scale,
+    # as transforms that agree differ by up to 0.4 of it either way
     scale, turn = np.log2(np.abs(factor)) * 2, np.angle(factor) * TURNS / (2 * np.pi)
     likely = []
     for ds in (0, 0.5):
         for dt in (0, 0.5):
-            key, votes = _distinct((pair * 64 + np.clip(np.floor(scale + ds) + 32, 0, 63).astype(np.int64)) * TURNS + np.floor(turn + dt).astype(np.int64) % TURNS, qi, len(q))
+            key, votes = _distinct((pair * 64 + np.clip(np.floor(scale / 2 + ds) + 32, 0, 63).astype(np.int64)) * TURNS + np.floor(turn + dt).astype(np.int64) % TURNS, qi, len(q))
             p = key // (64 * TURNS)
             likely.append(p[votes >= _needed(n_q[p // len(n_d)], n_d[p % len(n_d)])])
     likely = _unique(np.concatenate(likely))
@@ -364,9 +449,16 @@ def _copies(q: np.ndarray, q_owner: np.ndarray, q_pairs: tuple, d: np.ndarray, d
     one, two = np.divmod(likely, len(n_d))
     need = _needed(n_q[one], n_d[two]).astype(np.int64)
     votes, f, shift = _agreements(zq[qi[chosen]], zd[di[chosen]], factor[chosen], qi[chosen], di[chosen], cuts, need)
-    for p in np.flatnonzero(votes >= need).tolist():
+    agreed = np.flatnonzero(votes >= need)
+    if like is None:
+        cover = np.full(len(agreed), COVER)
+    else:
+        same = like(one[agreed], two[agreed], f[agreed], shift[agreed])
+        agreed, same = agreed[same >= ALIKE], same[same >= ALIKE]
+        cover = np.where(same >= SURE, COVER_SURE, COVER)
+    for p, share in zip(agreed.tolist(), cover.tolist(), strict=True):
         x, y = one[p], two[p]
-        if (like is None or like(x, y, f[p], shift[p])) and _covered(q[q_order[q_at[x] : q_at[x + 1]]], d[d_order[d_at[y] : d_at[y + 1]]], f[p], shift[p]):
+        if _covered(q[q_order[q_at[x] : q_at[x + 1]]], d[d_order[d_at[y] : d_at[y + 1]]], f[p], shift[p], share):
             out.append((int(x), int(y), int(votes[p])))
     return out
 
@@ -441,7 +533,7 @@ def _agreement(zq, zd, factor, qi, di, need: int = 1, most: int = 64) -> tuple[i
     return votes, fit, y.mean() - fit * x.mean()
 
 
-def _covered(q: np.ndarray, d: np.ndarray, factor: complex, shift: complex) -> bool:
+def _covered(q: np.ndarray, d: np.ndarray, factor: complex, shift: complex, cover: float = COVER) -> bool:
     """Whether the transform brings enough of the query's corners within the other's onto like ones, of like scale."""
     zq, zd = (c["x"].astype(np.float64) + 1j * c["y"] for c in (q, d))
     to = factor * zq + shift
@@ -458,7 +550,7 @@ def _covered(q: np.ndarray, d: np.ndarray, factor: complex, shift: complex) -> b
         r, c = np.nonzero(near)
         good = _distance(q["bits"], i[r], d["bits"], c) <= LIKE
         like[s + np.unique(r[good])] = True
-    return like.sum() >= max(COVERED, COVER * len(at))
+    return like.sum() >= max(COVERED, cover * len(at))
 
 
 def find_copies(queries: DataFrame, images: DataFrame, stored: int = STORED, asked: int = ASKED) -> DataFrame:
@@ -487,7 +579,8 @@ def find_copies(queries: DataFrame, images: DataFrame, stored: int = STORED, ask
             arrays.append((corners, np.repeat(np.arange(t.num_rows), t["n"].to_numpy())))
         (d, d_owner), (q, q_owner) = arrays
         small = ([(h, w, x) for h, w, x in zip(*(t[k].to_pylist() for k in ("height", "width", "small")), strict=True)] for t in (right, left))
-        found = copies(q, q_owner, d, d_owner, like=alike(*small))
+        # cells differ in size; the queries are held against a little more at once rather than against a small rest as well
+        found = copies(q, q_owner, d, d_owner, stored=stored + stored // 4, like=alike(*small))
         ids = [t["id"].to_numpy() for t in (right, left)]
         cols = [[ids[0][a] for a, _, _ in found], [ids[1][b] for _, b, _ in found], [v for *_, v in found]]
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "class_id", "votes"])

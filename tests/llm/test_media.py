@@ -173,3 +173,32 @@ def test_agreements_equal_agreement_run_by_run():
         for x in (got, small):
             assert x[0][p] == want[0] and np.allclose([x[1][p], x[2][p]], want[1:])
     assert 40 < (got[0] > 0).sum() < 150
+
+
+def test_unlike_images_give_few_matches():
+    one, two = (corners(drawings(80, seed)) for seed in (21, 22))
+    found = media._matches(one[0], media.corner_pairs(*one), two[0], media.corner_pairs(*two))
+    assert len(found[0]) <= 120_000  # 184,540 with the first tests of all as tables
+
+
+@pytest.mark.parametrize(("seed", "n"), [(30, 19), (34, 19), (40, 5)])
+def test_copies_whose_pixels_agree_need_fewer_like_corners(seed, n):
+    image = drawings(n + 1, seed)[n]
+    asked = media.edit(image, n).astype(float)
+    small = [[(*x.shape, media.reduced(x).tobytes())] for x in (asked, image)]
+    assert [x[:2] for x in media.copies(*corners([asked]), *corners([image]), like=media.alike(*small))] == [(0, 0)]
+
+
+def test_tables_have_tests_that_divide_whatever_the_order():
+    r = np.random.default_rng(23)
+    holds = r.random((3000, media.BITS)) < 0.5
+    holds[:, :96] = r.random((3000, 96)) < 0.01
+    bits = np.packbits(holds, axis=1).view("<u8")
+    tests = media._dividing(bits)
+    assert (tests >= 96).all() and all(len(set(t)) == media.WIDTH for t in tests.tolist())
+    assert (media._dividing(bits[r.permutation(3000)]) == tests).all()
+    assert media._dividing(bits[:0]).shape == tests.shape == media._dividing(np.zeros((5, 2), "<u8")).shape
+    rows = np.zeros(3000, media._CORNER)
+    rows["bits"] = bits
+    want = (holds[:, tests] * (1 << np.arange(media.WIDTH)[::-1])).sum(axis=2)
+    assert (media._words(rows, tests) == want).all()
